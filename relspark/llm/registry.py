@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secrets
+from . import bpe, media, mixing, secrets, urls
 
-MODULES = (secrets, bpe, media)
+MODULES = (urls, mixing, secrets, bpe, media)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
