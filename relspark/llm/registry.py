@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, secrets, topk, urls, warc
+from . import bpe, lm, media, mixing, secrets, topk, urls, warc
 
-MODULES = (topk, urls, mixing, secrets, warc, bpe, media)
+MODULES = (topk, urls, mixing, secrets, warc, bpe, media, lm)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
