@@ -3,8 +3,7 @@ r"""WARC records and a Merkle fixity audit of replicas.
 ``records`` turns pages into WARC/1.1 response records, laid out in files by ranges of page numbers with ordered
 offsets; ``read_records`` parses such bytes.  ``merkle`` hashes records (leaves) and, level by level, the ordered runs
 of up to 16 children of one file into nodes that know their offset range; file roots are hashed on in the same way up
-to one root.  ``audit`` compares two replicas' trees from the root and descends only into nodes whose hashes differ, so
-that what it joins per level is what differs.  DataFrame functions only, but for the parser.
+to one root.  ``audit`` compares two replicas' trees from the root and descends only into nodes whose hashes differ.  DataFrame functions only, but for the parser.
 
 A leaf's place is (file, number in the file), ordered by page_id, then by the record's hash, so repeated rows get places
 of their own.  A null page_id counts as page 0's file with nulls first; a null url or html as empty.  An empty table has
@@ -62,54 +61,50 @@ def leaves(recs: DataFrame) -> DataFrame:
     return r.select("page_id", "file", (F.row_number().over(by) - 1).cast("long").alias("idx"), (upto - F.col("bytes")).alias("start"), upto.alias("end"), "hash")
 
 
-def _parents(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def _parents(nodes: DataFrame) -> DataFrame:
     """Nodes one level up: the hash of the children's ordered ranges and hashes."""
     child = F.struct("idx", F.concat_ws(":", "start", "end", "hash").alias("t"))
-    return nodes.groupBy(*keys, F.floor(F.col("idx") / FAN).alias("up")).agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x.t), "\n"), 256).alias("hash")
-    ).withColumnRenamed("up", "idx")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x.t), "\n")
+    up = nodes.groupBy("replica", "file", F.floor(F.col("idx") / FAN).alias("up")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(text, 256).alias("hash"))
+    return up.withColumnRenamed("up", "idx")
 
 
-FILE_LEVELS = 3  # 16 ** 3 leaves a node; a file's leaves beyond that make more than one top node, which the levels above join
+FILE_LEVELS = 3  # nodes of 16 ** 3 leaves; what a longer file has more of them is hashed together
 
 
 def merkle(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up to one root, each (file, idx, start, end, hash); above the files, file is the level's constant -1."""
-    out = [leaf.select("file", "idx", "start", "end", "hash")]
+    """Levels from the leaves up to the root, each (replica, file, idx, start, end, hash); above the files, file is -1.
+
+    The replicas share the tables.  Each level is written once and is about a sixteenth of the one below.
+    """
+    out = [durable(leaf.select("replica", "file", "idx", "start", "end", "hash"))]
     for _ in range(FILE_LEVELS):
-        out.append(_parents(out[-1], ["file"]))
-    tops = out[-1]
-    # the files' nodes in order: file numbers may leave gaps, and a file may have several top nodes
-    n = tops.agg(F.max("file"), F.min("file")).first()
-    level = tops.select(F.lit(-1).cast("long").alias("file"), F.col("file").alias("idx"), F.col("idx").alias("sub"), "start", "end", "hash")
-    level = level.groupBy("file", "idx").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
-    out.append(level)
-    span = 1 if n[0] is None else max(abs(n[0]), abs(n[1])) + 1
-    while span > 1:
-        out.append(_parents(out[-1], ["file"]))
-        span = -(-span // FAN)
+        out.append(durable(_parents(out[-1])))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]), "\n")
+    files = out[-1].groupBy("replica", F.col("file").alias("idx")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(text, 256).alias("hash"))
+    out.append(durable(files.select("replica", F.lit(-1).cast("long").alias("file"), "idx", "start", "end", "hash")))
+    low, high = out[-1].agg(F.min("idx"), F.max("idx")).first()
+    while low is not None and low < high and (low, high) != (-1, 0):
+        out.append(durable(_parents(out[-1])))
+        low, high = low // FAN, high // FAN
     return out
 
 
-def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(file, idx) of the leaves that differ or that one replica lacks; trees as ``merkle`` gives them."""
-    while len(a) < len(b):
-        a = [*a, _parents(a[-1], ["file"])]
-    while len(b) < len(a):
-        b = [*b, _parents(b[-1], ["file"])]
-    tops = FILE_LEVELS + 1
+def audit(levels: list[DataFrame]) -> DataFrame:
+    """(file, idx) of the leaves in which replicas 0 and 1 differ, or that one of them lacks, from ``merkle``'s levels."""
     differ = None
-    for depth in range(len(a) - 1, -1, -1):
-        x, y = a[depth], b[depth]
+    for depth in range(len(levels) - 1, -1, -1):
+        nodes = levels[depth]
         if differ is not None:
-            if depth == tops - 1:  # from a file's node down to that file's top nodes
-                up, on = differ.select(F.col("idx").alias("__f")), lambda t: t["file"] == F.col("__f")
+            if depth == FILE_LEVELS:  # from a file's node down to what that file has
+                up = differ.select(F.col("idx").alias("__f"))
+                nodes = nodes.join(up, F.col("file") == F.col("__f"), "left_semi")
             else:
-                up, on = differ.select(F.col("file").alias("__f"), F.col("idx").alias("__i")), lambda t: (t["file"] == F.col("__f")) & (F.floor(t["idx"] / FAN) == F.col("__i"))
-            x, y = x.join(up, on(x), "left_semi"), y.join(up, on(y), "left_semi")
-        y = y.select(F.col("file").alias("file2"), F.col("idx").alias("idx2"), F.col("hash").alias("hash2"), F.col("start").alias("start2"))
-        both = x.join(y, (F.col("file") == F.col("file2")) & (F.col("idx") == F.col("idx2")), "full_outer")
-        differ = both.filter(~F.col("hash").eqNullSafe(F.col("hash2")) | ~F.col("start").eqNullSafe(F.col("start2"))).select(F.coalesce("file", "file2").alias("file"), F.coalesce("idx", "idx2").alias("idx"))
+                up = differ.select(F.col("file").alias("__f"), F.col("idx").alias("__i"))
+                nodes = nodes.join(up, (F.col("file") == F.col("__f")) & (F.floor(F.col("idx") / FAN) == F.col("__i")), "left_semi")
+        place = F.struct("start", "end", "hash")
+        both = nodes.groupBy("file", "idx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+        differ = durable(both.filter((F.col("n") != 2) | (F.col("a") != F.col("b"))).select("file", "idx"), drop=differ)
     return differ
 
 
@@ -123,9 +118,10 @@ def damaged(recs: DataFrame, every: int = 97) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record: its file, offsets and hash, and whether the audit of a replica with planted damage finds it changed."""
     recs = records(table(spark, sf_dir, "pages"))
-    leaf = durable(leaves(recs))
-    other = durable(leaves(damaged(recs)))
-    found = audit(merkle(leaf), merkle(other)).select(F.col("file").alias("f"), F.col("idx").alias("i"), F.lit(True).alias("hit"))
+    both = leaves(recs).withColumn("replica", F.lit(0)).unionByName(leaves(damaged(recs)).withColumn("replica", F.lit(1)))
+    both = durable(both)
+    leaf = both.filter("replica = 0")
+    found = audit(merkle(both)).select(F.col("file").alias("f"), F.col("idx").alias("i"), F.lit(True).alias("hit"))
     out = leaf.join(found, (F.col("file") == F.col("f")) & (F.col("idx") == F.col("i")), "left")
     return out.select("page_id", F.col("file").alias("warc_file"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("hash").alias("record_sha256"), F.coalesce("hit", F.lit(False)).alias("corrupt"))
 
