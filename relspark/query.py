@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from .errors import EngineError
 from .functions import Aggregate
-from .plans.compile import compile_select, table_names
+from .plans.compile import compile_select, resolve, table_names
 from .plans.sql import delete_sql, insert_sql, select_sql, update_sql
 from .predicates import Binder, JoinPredicate, Predicate, bound
 from .types import Order
@@ -37,7 +37,17 @@ class Query:
         return self.db._run_alone(self)
 
     def explain(self) -> str:
-        return self.exec_df()._jdf.queryExecution().toString()
+        """Spark's plans; for updates and deletes those of the rows that match."""
+        kind = type(self).__name__.removesuffix("Builder").lower()
+        if isinstance(self, SelectBuilder):
+            return self.exec_df()._jdf.queryExecution().toString()
+        self.check()
+        name = self.table.name
+        if isinstance(self, InsertBuilder):
+            return f"{'insert_replace' if self.replace else kind}({name})"
+        rows = self.db.tables([name])[name].alias(self.table.effective_name)
+        rows = rows if self.predicate is None else rows.filter(self.predicate.to_column(resolve, self.binds))
+        return f"{kind}({name})\n{rows._jdf.queryExecution().toString()}"
 
     def clone(self):
         return copy.deepcopy(self, {id(self.db): self.db, **{id(t): t for t in self.db.schema.tables.values()}})

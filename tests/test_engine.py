@@ -288,3 +288,58 @@ def test_filters_reach_the_scan(spark):
     text = db.select(t.p_partkey).from_(t).where(op.not_(t.p_size.gt(20))).explain()
     assert "PushedFilters: [Or(IsNull(p_size),LessThanOrEqual(p_size,20))]" in text
     assert "BroadcastHashJoin" in plan("join_implicit") and "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan("join_implicit")
+
+
+def test_clone_and_explain(db):
+    j = db.table("Job")
+    q = db.select(j.id).from_(j).where(j.low.gte(bind(0))).order_by(j.id)
+    a, b = q.clone().bind([2.0]), q.clone().bind([3.0])
+    assert [len(x.exec()) for x in (a, b)] == [2, 1] and q.ctx.binds is None
+    assert db.delete().from_(j).where(j.id.eq("a")).explain().startswith("delete(Job)\n")
+    assert db.insert_or_replace().into(j).values([{}]).explain() == "insert_replace(Job)"
+
+
+def test_lock_rules():
+    from relspark.locks import LockManager, LockType
+
+    m, t = LockManager(), {"T"}
+    assert m.request(1, t, LockType.RESERVED_READ_ONLY) and m.request(2, t, LockType.RESERVED_READ_ONLY)
+    assert not m.request(3, t, LockType.RESERVED_READ_WRITE)
+    assert m.request(1, t, LockType.SHARED) and m.request(2, t, LockType.SHARED) and not m.request(3, t, LockType.SHARED)
+    assert m.request(3, t, LockType.RESERVED_READ_WRITE) and not m.request(4, t, LockType.RESERVED_READ_WRITE)
+    assert not m.request(3, t, LockType.EXCLUSIVE) and not m.request(5, t, LockType.RESERVED_READ_ONLY)
+    m.release(1, t), m.release(2, t)
+    assert m.request(3, t, LockType.EXCLUSIVE) and not m.request(4, t, LockType.EXCLUSIVE)
+    m.release(3, t)
+    assert m.request(4, t, LockType.RESERVED_READ_WRITE)
+    m.clear_reserved(t)
+    assert m.request(5, t, LockType.RESERVED_READ_ONLY)
+
+
+def test_changes_from_a_folder(spark, tmp_path):
+    from relspark.streaming.changes import follow
+
+    d = staff().connect(spark)
+    j, seen = d.table("Job"), []
+    q = d.select(j.id).from_(j).order_by(j.id)
+    d.observe(q, seen.append)
+    row = lambda i, t: j.dataframe(spark, [{"id": i, "title": t, "low": 0.0}])
+    for batch in (row("a", "1"), row("b", "2"), row("a", "3")):
+        batch.write.mode("append").parquet(str(tmp_path / "in"))
+        follow(spark, d, j, str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination()
+    assert [(r["id"], r["title"]) for r in d.select().from_(j).order_by(j.id).exec()] == [("a", "3"), ("b", "2")]
+    assert len(seen) == 2
+    from pyspark.sql import SparkSession
+
+    from relspark.config import SETTINGS, apply
+
+    assert apply(SparkSession.builder.getOrCreate()).conf.get("spark.sql.adaptive.skewJoin.enabled") == SETTINGS["spark.sql.adaptive.skewJoin.enabled"]
+
+
+def test_bulk_import_and_export_by_folder(spark, tmp_path):
+    d = staff().connect(spark)
+    d.insert().into(d.table("Job")).values(spark.range(50).selectExpr("concat('j', id) id", "'t' title", "cast(id as double) low")).exec()
+    d.export_to(str(tmp_path / "x"))
+    e = staff().connect(spark)
+    e.import_from(str(tmp_path / "x"), "staff", 1)
+    assert e.select(fn.count().as_("n"), fn.sum(e.table("Job").low).as_("s")).from_(e.table("Job")).exec() == [{"n": 50, "s": 1225.0}]
