@@ -275,16 +275,14 @@ def _landmarks(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     marked = seen.filter("t >= 3").withColumn("v", F.col("t") * odds).filter(odds > 1.5).orderBy(F.desc("v"), F.desc(F.length("w")), "w").limit(20 * LANDMARKS).collect()
     common = seen.filter("w like '%$'").orderBy(F.desc("c"), "w").limit(COMMON).collect()
     out: list[str] = []
-    if marked:  # those like an earlier one add nothing
-        names = [r.w for r in marked]
-        ids, value = Kernel(names)(names)
-        like = np.zeros((len(names), len(names)))
-        like[ids] = value
-        free = np.ones(len(names), bool)
-        for k, w in enumerate(names):
-            if free[k] and len(out) < LANDMARKS:
-                out.append(w)
-                free &= like[k] < 0.8
+    kept: list[dict] = []
+    for r in marked:  # those like an earlier one add nothing
+        if len(out) == LANDMARKS:
+            break
+        _, what, how = _summed(*_triples([r.w]))
+        own = dict(zip(what.tolist(), (how / np.sqrt((how * how).sum())).tolist(), strict=True))
+        if all(sum(v * other.get(t, 0.0) for t, v in own.items()) ** POWER < 0.8 for other in kept):
+            out.append(r.w), kept.append(own)
     return out + [r.w for r in common if r.w not in out]
 
 
