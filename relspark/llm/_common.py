@@ -49,7 +49,7 @@ def durable(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._relspark_path = path
     atexit.register(_remove, spark, path)

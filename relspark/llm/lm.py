@@ -8,8 +8,8 @@ re-estimated from how often the training words' best segmentations use them.
 
 Words ``[^\x20\x09-\x0D]+``, A-Z lower-cased; the base score is an add-one word unigram.  Counting goes by chunks of
 documents: each chunk gives its distinct words (with counts) and its documents as arrays of chunk-local word numbers.
-Words are counted over all chunks, scored once each, and joined back to the chunks that hold them, so neither texts nor
-(document, word) pairs are shuffled, and nothing but the pieces' counts reaches the driver.
+One shuffle brings a word's entries together, which gives its count and scores it once; another takes them back to their
+chunks.  So neither texts nor (document, word) pairs are shuffled, and nothing but the pieces' counts reaches the driver.
 
 Null and empty texts have only the end.  Rows that repeat are scored one by one, and count again in training.  Rows with
 a null doc_id are not held out.  With an empty training set, N and V are 0 and the base score of each token is log10(1).
@@ -27,13 +27,13 @@ import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import durable, table, word_batches
 
 VOCAB = public_tokenizers.path("piece_bpe_32k.model")
-CHUNK = 8 << 20  # bytes of text
+CHUNK = 12 << 20  # bytes of text: the larger, the fewer chunks a word is in
 LOG10 = math.log(10)
 PRIOR = 1000.0  # pseudo-counts of the vocabulary's own scores
 
@@ -110,20 +110,22 @@ def chunks(docs: DataFrame, held_out) -> DataFrame:
             nonlocal seq, ids, texts, held, size
             if not texts:
                 return
-            hashes, lens, first = [], [], {}
-            uniq_h, uniq_w, uniq_c = [], [], []
+            hashes, lens, bufs, places = [], [], [], []
             flags = np.array(held, bool)
-            for i, n, buf, h, s, e, off in word_batches(texts):
+            for _, _, buf, h, s, e, off in word_batches(texts):
                 lens.append(np.diff(off))
                 hashes.append(h)
                 u, at = np.unique(h, return_index=True)
-                low = buf.lower()
-                uniq_h.append(u)
-                uniq_w += [low[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-            u_all, at = np.unique(np.concatenate(uniq_h), return_index=True)
-            names = [uniq_w[k] for k in at.tolist()]
+                places.append((u, np.full(len(u), len(bufs)), s[at], e[at]))
+                bufs.append(buf)
+            texts = []
+            u_all, at = np.unique(np.concatenate([x[0] for x in places]), return_index=True)
+            where = [np.concatenate([x[k] for x in places])[at].tolist() for k in (1, 2, 3)]
+            names = [bufs[k][a:b].lower() for k, a, b in zip(*where, strict=True)]
+            del bufs, places, where
             h, lens = np.concatenate(hashes), np.concatenate(lens)
             local = np.searchsorted(u_all, h).astype(np.uint32)
+            del h, hashes
             train = np.repeat(~flags, lens)
             c = np.bincount(local[train], minlength=len(u_all))
             chunk = (part << 20) + seq
@@ -194,8 +196,11 @@ def score(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
     packed = durable(chunks(docs, held_out))
     entries = packed.filter("blob is null").select("chunk", "local", "word", "c")
     blobs = packed.filter("blob is not null").select("chunk", "blob", "n_train")
-    words = entries.groupBy("word").agg(F.sum("c").alias("c"))
-    words = durable(words)
+    # one shuffle by word: each entry gets its word's count; rows stay in the order of words
+    by = Window.partitionBy("word")
+    first = F.row_number().over(by.orderBy("chunk", "local")) == 1
+    entries = durable(entries.select("chunk", "local", "word", F.sum("c").over(by).alias("c"), first.alias("first")))
+    words = entries.filter("first").select("word", "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n_end = blobs.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     n, v = n + n_end, v + (n_end > 0)
@@ -203,13 +208,16 @@ def score(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(logp)  # one number for each piece of the vocabulary
 
     def marginal(batches):
-        lattice = Lattice(path, shared.value)
+        lattice, last, value = Lattice(path, shared.value), None, 0.0
         for b in batches:
-            out = [lattice.word(w.decode("utf-8", "replace")) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["word", "c", "logp"])
-
-    scored = words.mapInArrow(marginal, "word binary, c long, logp double")
-    known = entries.select("chunk", "local", "word").join(scored, "word").selectExpr("chunk as part", "local", "c", "logp")
+            out = []
+            for w in b.column(2).to_pylist():
+                if w != last:
+                    last, value = w, lattice.word(w.decode("utf-8", "replace"))
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(out, pa.float64())], names=["part", "local", "c", "logp"])
+
+    known = entries.select("chunk", "local", "word", "c").mapInArrow(marginal, "part long, local int, c long, logp double")
     base_end = math.log10((n_end + 1) / (n + v + 1))
     known_end = int(n_end > 0)
 
