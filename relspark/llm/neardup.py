@@ -11,9 +11,11 @@ the whole sequence is one shingle; without words the set is empty and links with
   choice of E positions is left out and the others are hashed: so all pairs within the distance share a key.
 * Keys only join each class with one member of the key's bucket (drawn anew for each bucket), which connects the bucket:
   families of classes hold all pairs in question, without pairs within buckets.
-* Families are cut into blocks of ``FAMILY_BLOCK`` classes; each pair of blocks is one task.  It visits classes in order
-  of set size and counts exact intersections by an inverted index, but only where sizes and signatures allow a link
-  and the classes are not connected yet, and returns the links that connect (fewer than its classes).
+* Families are cut into blocks of about ``FAMILY_BLOCK`` classes and ``BLOCK_SHINGLES`` shingles; a block is one task.  It
+  visits classes in order of set size and counts exact intersections by an inverted index, but only where sizes and
+  signatures allow a link and the classes are not connected yet, and returns the links that connect (fewer than its
+  classes).  A family of several blocks is cut anew by another hash, which connects near copies across blocks; classes
+  that its largest component still lacks then meet all others, each pair of blocks in one task.
 * Connected components of these links, by alternating star contraction on shared tables.
 
 Sets are compared as 64-bit fingerprints of their shingles.  Null texts count as empty.  Rows with equal doc_id and text
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from ._common import U, durable, mix, small, table, word_batches
 
 HASHES = 64
-FAMILY_BLOCK = 1024
+FAMILY_BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 MISS = 1e-6
 _rng = np.random.default_rng(90210)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
@@ -139,6 +141,16 @@ def probe_keys(classes: DataFrame, distance: int, errors: int = 1) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "node long, key long")
 
 
+def _to_hub(rows: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their key's row of ``hubs``, which was grouped by ``key``.
+
+    Joined by the key's complement, so that the grouping's own exchange is not used again: Spark splits a hot key only
+    if both sides are dealt out for the join itself.
+    """
+    hubs = hubs.withColumn("__k", F.bitwise_not(key)).drop(key)
+    return rows.join(hubs, F.bitwise_not(rows[key]) == F.col("__k")).drop("__k")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of (a, b) edges: root is the smallest node reachable.
 
@@ -156,19 +168,22 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(edges)) != last and now[0]:
         last = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(hubs(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _to_hub(both, hubs(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # large star: every larger neighbour of u links to the smallest of u's neighbourhood
         step = durable(large.filter("u <> v").distinct())
         own = step.groupBy("u").agg(F.min("v").alias("m"))
-        few = step.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v")))
+        few = _to_hub(step, own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v")))
         # small star: u and its smaller neighbours link to the smallest of them
         edges = durable(few.filter("u <> v").distinct(), drop=edges)
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, percent: int, distance: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked: among all rows, or (with ``side``) between sides 0 and 1 and within them as met."""
+def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, percent: int, distance: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked: among all rows, or (with ``side``) between sides 0 and 1.
+
+    Rows of equal ``label`` are connected already.
+    """
     n = len(node)
     size = np.fromiter(map(len, sets), np.int64, n)
     order = np.lexsort((node, size))
@@ -184,7 +199,7 @@ def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side:
     number[by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(token))))
     ends = np.append(new, len(token))
     begin = np.concatenate([[0], np.cumsum(size)])
-    label, out = np.arange(n), []
+    label, out = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1][order], []
     for i in range(n):
         # |A & B| <= |A| and |A | B| >= |B|: only sizes up to 100/percent of this one's
         hi = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
@@ -212,11 +227,12 @@ def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side:
     return out
 
 
-def class_links(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int, percent: int, distance: int) -> DataFrame:
-    """(a, b): confirmed links of classes within families, enough of them to connect what is linked."""
-    count = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
-    members = families.join(small(count), "root").join(reps.select("node", "doc_id"), "node")
-    members = members.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "root", "blocks")
+def family_sets(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int) -> DataFrame:
+    """(root, blocks, node, data, sig) of each member of a family: into how many blocks that is cut, set and signature."""
+    members = families.join(reps.select("node", "doc_id", "n_shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    count = members.groupBy("root").agg(blocks.alias("blocks"))
+    members = _to_hub(members, count, "root").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "root", "blocks")
 
     def run(batches):
         names = ["root", "blocks", "node", "data", "sig"]
@@ -229,18 +245,51 @@ def class_links(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int, p
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     texts = _texts(docs).join(small(members), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "__node", "root", "blocks")
-    sets = texts.mapInArrow(run, "root long, blocks int, node long, data binary, sig binary").dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "data", "sig")
+    return texts.mapInArrow(run, "root long, blocks int, node long, data binary, sig binary").dropDuplicates(["node"])
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.x.iloc[0], pdf.y.iloc[0]
-        side = None if x == y else (pdf.block.to_numpy() == y).astype(np.int8)
-        found = link_block(pdf.node.to_numpy(), [np.frombuffer(d, np.uint64) for d in pdf.data], np.stack([np.frombuffer(d, np.uint16) for d in pdf.sig]), side, percent, distance)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return sets.groupBy("root", "x", "y").applyInPandas(link, "a long, b long")
+def class_links(sets: DataFrame, percent: int, distance: int) -> DataFrame:
+    """(a, b): confirmed links within families, enough of them to connect what is linked; ``sets`` is a durable ``family_sets``."""
+    block = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = None if pdf.side.isna().any() else pdf.side.to_numpy().astype(np.int8)
+        label = None if pdf.label.isna().any() else pdf.label.to_numpy()
+        found = link_block(pdf.node.to_numpy(), [np.frombuffer(d, np.uint64) for d in pdf.data], np.stack([np.frombuffer(d, np.uint16) for d in pdf.sig]), side, percent, distance, label)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").assign(several=bool(pdf.blocks.iloc[0] > 1))
+
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        return durable(rows.select("root", *by, "blocks", "node", "data", "sig", "side", "label").groupBy("root", *by).applyInPandas(link, "a long, b long, several boolean"))
+
+    none = {"side": F.lit(None).cast("int"), "label": F.lit(None).cast("long")}
+    first = linked(sets.withColumns(none | {"x": block(1, "blocks")}), "x")
+    large = sets.filter("blocks > 1")
+    if large.isEmpty():
+        return first.select("a", "b")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        known = components(links).select(F.col("node").alias("__n"), F.col("root").alias("known"))
+        return large.join(known, F.col("node") == F.col("__n"), "left").withColumn("label", F.coalesce("known", "node")).drop("known", "__n")
+
+    met = first.filter("several")
+    second = linked(labelled(met).withColumns({"side": none["side"], "x": block(2, "blocks")}), "x")
+    rows = durable(labelled(met.unionByName(second)))
+    most = F.struct(F.col("count").alias("n"), "label")
+    plan = rows.groupBy("root", "label").count().groupBy("root").agg(F.max(most).alias("top"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    # as many blocks as before, shared out between the largest component and the rest
+    part = lambda k: F.greatest(F.lit(1), F.ceil(F.col("blocks") * k / F.col("n"))).cast("int")
+    rows = _to_hub(rows, plan, "root").withColumns({"rest": F.col("label") != F.col("top.label"), "main_blocks": part(F.col("top.n")), "rest_blocks": part(F.col("n") - F.col("top.n"))})
+    rows = rows.withColumn("own", F.when(F.col("rest"), block(3, "rest_blocks")).otherwise(block(3, "main_blocks")))
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    place = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own = F.col("own")
+    to_main = F.transform(every("main_blocks"), lambda m: place(0, m, own))
+    to_rest = F.transform(every("rest_blocks"), lambda r: place(1, F.least(r, own), F.greatest(r, own)))
+    at = F.when(F.col("rest"), F.concat(to_main, to_rest)).otherwise(F.transform(every("rest_blocks"), lambda r: place(0, own, r)))
+    rows = rows.withColumn("at", F.explode(at)).withColumns({"kind": F.col("at.kind"), "x": F.col("at.x"), "y": F.col("at.y")})
+    side = F.when(F.col("kind") == 0, F.col("rest").cast("int")).when(F.col("x") != F.col("y"), (own == F.col("y")).cast("int"))
+    third = linked(rows.withColumn("side", side), "kind", "x", "y")
+    return first.unionByName(second).unionByName(third).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -253,12 +302,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # one member of each bucket, drawn by a hash of member and bucket
     draw = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("hub"))
     hubs = keys.groupBy("key").agg(F.min(draw).alias("d"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "d.hub")
-    near = keys.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    near = _to_hub(keys, hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = durable(components(near))
-    roots = components(class_links(docs, reps, families, n, percent, distance))
+    roots = components(class_links(durable(family_sets(docs, reps, families, n)), percent, distance))
     groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "root").select(F.col("node").alias("__n"), F.col("check").alias("__k"), "component_id")
+    named = _to_hub(groups, least, "root").select(F.col("node").alias("__n"), F.col("check").alias("__k"), "component_id")
     out = sketches.join(named, (F.col("node") == F.col("__n")) & (F.col("check") == F.col("__k")), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -194,9 +194,10 @@ def test_neardup(docs, nothing, n, percent):
     assert sorted(i for i in ids if i is not None) == sorted(groups)
 
 
-def test_neardup_large_family(spark, monkeypatch):
+@pytest.mark.parametrize(("name", "most"), [("FAMILY_BLOCK", 16), ("BLOCK_SHINGLES", 700)])
+def test_neardup_large_family(spark, monkeypatch, name, most):
     """More members than a block holds, all near copies of one text or of each other."""
-    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 16)
+    monkeypatch.setattr(neardup, name, most)
     r = random.Random(2)
     base = [f"w{k}" for k in range(60)]
     rows = []
