@@ -179,8 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, percent: int, distance: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is linked: among all rows, or (with ``side``) between sides 0 and 1.
+def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, percent: int, distance: int, label: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what is linked, and each row's component: among all rows, or (with ``side``) between sides 0 and 1.
 
     Rows of equal ``label`` are connected already.
     """
@@ -224,7 +224,9 @@ def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side:
             if label[j] != label[i]:
                 out.append((int(node[order[i]]), int(node[order[j]])))
                 label[label == label[j]] = label[i]
-    return out
+    group = np.empty(n, np.int64)
+    group[order] = label
+    return out, group
 
 
 def family_sets(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int) -> DataFrame:
@@ -255,25 +257,28 @@ def class_links(sets: DataFrame, percent: int, distance: int) -> DataFrame:
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         side = None if pdf.side.isna().any() else pdf.side.to_numpy().astype(np.int8)
         label = None if pdf.label.isna().any() else pdf.label.to_numpy()
-        found = link_block(pdf.node.to_numpy(), [np.frombuffer(d, np.uint64) for d in pdf.data], np.stack([np.frombuffer(d, np.uint16) for d in pdf.sig]), side, percent, distance, label)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").assign(several=bool(pdf.blocks.iloc[0] > 1))
+        node = pdf.node.to_numpy()
+        found, group = link_block(node, [np.frombuffer(d, np.uint64) for d in pdf.data], np.stack([np.frombuffer(d, np.uint16) for d in pdf.sig]), side, percent, distance, label)
+        out = pd.DataFrame(found, columns=["a", "b"], dtype="int64").assign(link=True)
+        if side is None and pdf.blocks.iloc[0] > 1:  # what has been one so far gets the least name of what it is one with
+            was = node if label is None else label
+            now = pd.Series(was).groupby(group).transform("min").to_numpy()
+            out = pd.concat([out, pd.DataFrame({"a": was, "b": now, "link": False}).drop_duplicates()])
+        return out
 
     def linked(rows: DataFrame, *by: str) -> DataFrame:
-        return durable(rows.select("root", *by, "blocks", "node", "data", "sig", "side", "label").groupBy("root", *by).applyInPandas(link, "a long, b long, several boolean"))
+        return durable(rows.select("root", *by, "blocks", "node", "data", "sig", "side", "label").groupBy("root", *by).applyInPandas(link, "a long, b long, link boolean"))
 
     none = {"side": F.lit(None).cast("int"), "label": F.lit(None).cast("long")}
     first = linked(sets.withColumns(none | {"x": block(1, "blocks")}), "x")
     large = sets.filter("blocks > 1")
     if large.isEmpty():
-        return first.select("a", "b")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        known = components(links).select(F.col("node").alias("__n"), F.col("root").alias("known"))
-        return large.join(known, F.col("node") == F.col("__n"), "left").withColumn("label", F.coalesce("known", "node")).drop("known", "__n")
-
-    met = first.filter("several")
-    second = linked(labelled(met).withColumns({"side": none["side"], "x": block(2, "blocks")}), "x")
-    rows = durable(labelled(met.unionByName(second)))
+        return first.filter("link").select("a", "b")
+    name = lambda links, key: links.filter("not link").groupBy(F.col("a").alias(key)).agg(F.min("b").alias("name"))
+    rows = large.join(name(first, "node"), "node").withColumnRenamed("name", "label")
+    second = linked(rows.withColumns({"side": none["side"], "x": block(2, "blocks")}), "x")
+    # equal names mean that classes are connected; different ones leave it open
+    rows = durable(_to_hub(rows, name(second, "label"), "label").drop("label").withColumnRenamed("name", "label"))
     most = F.struct(F.col("count").alias("n"), "label")
     plan = rows.groupBy("root", "label").count().groupBy("root").agg(F.max(most).alias("top"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     # as many blocks as before, shared out between the largest component and the rest
@@ -289,7 +294,7 @@ def class_links(sets: DataFrame, percent: int, distance: int) -> DataFrame:
     rows = rows.withColumn("at", F.explode(at)).withColumns({"kind": F.col("at.kind"), "x": F.col("at.x"), "y": F.col("at.y")})
     side = F.when(F.col("kind") == 0, F.col("rest").cast("int")).when(F.col("x") != F.col("y"), (own == F.col("y")).cast("int"))
     third = linked(rows.withColumn("side", side), "kind", "x", "y")
-    return first.unionByName(second).unionByName(third).select("a", "b")
+    return first.unionByName(second).unionByName(third).filter("link").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
