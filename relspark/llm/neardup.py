@@ -20,8 +20,9 @@ the whole sequence is one shingle; without words the set is empty and links with
 
 Sets are compared as 64-bit fingerprints of their shingles.  Null texts count as empty.  Rows with equal doc_id and text
 are equal results; rows with one doc_id and different texts are different documents.  A null doc_id takes part and gives
-its group's smallest doc_id that is not null (null if there is none); ``kept`` is then false unless alone.  Columns other
-than doc_id and text are not read by ``near_duplicates`` and kept by ``one_of_each``.
+its group's smallest doc_id that is not null (null if there is none); ``kept`` says whether doc_id is that one.  So null
+or repeated ids leave open which document of a group is meant; ``one_of_each`` therefore tells documents apart by doc_id
+and text.  Columns other than doc_id and text are not read by ``near_duplicates`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import U, durable, mix, small, table, word_batches
@@ -99,12 +100,17 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
 
 
-def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check, sig): two 64-bit fingerprints of the set, and the signature."""
+def _digest() -> Column:
+    """Of a row's text, which with doc_id tells documents apart."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def sketch(docs: DataFrame, n: int, digests: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, node, check, sig): two 64-bit fingerprints of the set, and the signature; with the text's digest if asked."""
 
     def run(batches):
         for b in batches:
@@ -113,9 +119,11 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 rows.append((len(s), *_set_id(s), signature(s).tobytes()) if len(s) else (0, None, None, None))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_shingles", "node", "check", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[2:]], names=names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary")
+    names = ["doc_id", "n_shingles", "node", "check", "sig"] + ["digest"] * digests
+    texts = _texts(docs, _digest().alias("digest")) if digests else _texts(docs)
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary" + ", digest binary" * digests)
 
 
 def probe_keys(classes: DataFrame, distance: int, errors: int = 1) -> DataFrame:
@@ -297,11 +305,17 @@ def class_links(sets: DataFrame, percent: int, distance: int) -> DataFrame:
     return first.unionByName(second).unionByName(third).filter("link").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each document: (doc_id, n_shingles, component_id, kept)."""
+def _document() -> Column:
+    """A document in order: by doc_id, null last, then by its text's digest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+
+
+def _groups(docs: DataFrame, n: int, percent: int, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all documents, and the classes with their group's root; with digests, also each class's first document."""
     distance = max_distance(percent)
-    sketches = durable(sketch(docs, n))
-    reps = sketches.filter("node is not null").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    sketches = durable(sketch(docs, n, digests))
+    firsts = [F.min(_document()).alias("document")] if digests else []
+    reps = sketches.filter("node is not null").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), *firsts)
     reps = durable(reps)
     keys = probe_keys(reps, distance)
     # one member of each bucket, drawn by a hash of member and bucket
@@ -310,7 +324,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     near = _to_hub(keys, hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = durable(components(near))
     roots = components(class_links(durable(family_sets(docs, reps, families, n)), percent, distance))
-    groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sketches, reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """A row for each document: (doc_id, n_shingles, component_id, kept)."""
+    sketches, groups = _groups(docs, n, percent)
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = _to_hub(groups, least, "root").select(F.col("node").alias("__n"), F.col("check").alias("__k"), "component_id")
     out = sketches.join(named, (F.col("node") == F.col("__n")) & (F.col("check") == F.col("__k")), "left")
@@ -321,14 +340,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group; rows that repeat a doc_id with an equal text are one document.
 
-    Documents without words stay.
+    A group's document is its first by doc_id (null last) and text digest.  Documents without words stay.
     """
-    gone = near_duplicates(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    twice = left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice"))
-    if twice.isEmpty():
-        return left
-    return left.withColumn("__t", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).dropDuplicates(["doc_id", "__t"]).drop("__t")
+    sketches, groups = _groups(docs, n, percent, digests=True)
+    first = groups.groupBy("root").agg(F.min("document").alias("first"))
+    named = _to_hub(groups, first, "root").select(F.col("node").alias("__n"), F.col("check").alias("__k"), "first")
+    rows = sketches.join(named, (F.col("node") == F.col("__n")) & (F.col("check") == F.col("__k")), "left")
+    stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    rows = durable(rows.groupBy("doc_id", "digest").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone = rows.filter("not stays").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__t") == F.col("__digest"))
+    left = docs.withColumn("__t", _digest()).join(small(gone), same, "left_anti")
+    if not rows.filter("stays and n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__t"])
+    return left.drop("__t")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,20 @@ def test_neardup(docs, nothing, n, percent):
     assert sorted(i for i in ids if i is not None) == sorted(groups)
 
 
+def test_one_of_each_by_document(spark):
+    """Null ids, and ids with several texts: one document of each group stays, whatever its id."""
+    text = lambda c, more="": " ".join(f"{c}{k}" for k in range(80)) + more
+    groups = {
+        "a": [(0, text("a")), (None, text("a", " x")), (1, text("a", " y"))], "b": [(1, text("b"))], "c": [(None, text("c"))], "d": [(None, text("d")), (None, text("d", " x")), (None, text("d"))],
+        "e": [(2, text("e")), (2, text("e", " x")), (2, text("e").upper())], "f": [(3, text("f")), (3, text("f"))], "g": [(None, text("g")), (4, text("g"))],
+    }
+    rows = [r for own in groups.values() for r in own] + [(5, None), (6, ""), (None, " ")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter(r.text[0].lower() for r in kept if (r.text or "").strip()) == dict.fromkeys(groups, 1)
+    assert {r.text[0].lower(): r.doc_id for r in kept if (r.text or "").strip()} == {"a": 0, "b": 1, "c": None, "d": None, "e": 2, "f": 3, "g": 4}
+    assert {(r.doc_id, r.text) for r in kept if not (r.text or "").strip()} == {(5, None), (6, ""), (None, " ")}
+
+
 @pytest.mark.parametrize(("name", "most"), [("FAMILY_BLOCK", 16), ("BLOCK_SHINGLES", 700)])
 def test_neardup_large_family(spark, monkeypatch, name, most):
     """More members than a block holds, all near copies of one text or of each other."""
