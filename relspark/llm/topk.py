@@ -11,7 +11,7 @@ blocks as well; each pair of blocks is one group, and its winners are merged per
 of ``SAMPLE`` rows; they steer speed only, never results.
 
 Vectors that are null or hold null or non-finite components take no part; a vector meets only those of its length.
-Rows with the query's own vec_id are no candidates; equal rows each count.  Equal scores go to the smaller vec_id.
+Rows with the query's own vec_id are no candidates; equal rows each count as candidates, and as one query.  Equal scores go to the smaller vec_id.
 Null ids take no part.  Columns other than vec_id and embedding are not read.
 """
 
@@ -73,7 +73,7 @@ def _search(ids, x, table_, norms, top, q_id, q, q_dist, k):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best of ``vectors`` for each row of ``queries``; both (vec_id, v)."""
-    vectors = durable(vectors)
+    vectors, queries = durable(vectors), queries.distinct()
     pivots = choose_pivots(vectors)
     n, nq = vectors.count(), queries.count()
     least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))

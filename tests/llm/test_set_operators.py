@@ -34,6 +34,15 @@ def test_topk(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_topk_repeated_query(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(0, [0.0, 1.0])] * 4 + [(50, [-1.0, 0.0]), (50, [-1.0, 0.0])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = collections.defaultdict(list)
+    for q in topk.top_k(v, v.filter("vec_id % 50 = 0"), k=5, block=8, query_block=1).orderBy("query_id", "rank").collect():
+        got[q.query_id].append((q.rank, q.vec_id))
+    assert got == {0: [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], 50: [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]}
+
+
 def test_pivots_stop_early():
     r = np.random.default_rng(1)
     centers = r.normal(0, 200, (20, 16))
