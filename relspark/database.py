@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import EngineError
-from .locks import LockManager, TransactionState
+from .locks import LockManager, Priority, TransactionState
 from .operators import dml
 from .operators.constraints import check_children, check_parents
 from .query import DeleteBuilder, InsertBuilder, SelectBuilder, UpdateBuilder
@@ -44,6 +45,7 @@ class Database:
             raise EngineError(300)
         self.store = Store(spark, None if kind is DataStoreType.MEMORY else path, "json" if kind is DataStoreType.JSON else "parquet")
         self.locks, self.observers, self.open, self.on_close = LockManager(), Observers(), True, None
+        self._commits, self._cached = threading.RLock(), {}
         if self.store.number >= 0 and self.store.version > schema.version:
             raise EngineError(108)
         if self.store.number >= 0 and self.store.version < schema.version:
@@ -72,7 +74,45 @@ class Database:
 
     def tables(self, names) -> dict[str, DataFrame]:
         self._alive()
-        return {n: self.store.read(self.schema.table(n), self.states[n]) for n in names}
+        return {n: self._rows(n) for n in names}
+
+    def _rows(self, name: str) -> DataFrame:
+        state, kept = self.states[name], self._cached.get(name)
+        if kept is not None and kept[0] is not state:  # the table has changed: its rows are cached anew
+            kept[1].unpersist()
+            kept = self._cached[name] = (state, self.store.read(self.schema.table(name), state).persist())
+        return self.store.read(self.schema.table(name), state) if kept is None else kept[1]
+
+    def cache(self, *tables: Table) -> Database:
+        """Keeps the tables' rows with the executors, as far as they fit, until ``uncache``; later snapshots too."""
+        self._alive()
+        for t in tables:
+            if t.name not in self._cached:
+                state = self.states[t.name]
+                self._cached[t.name] = (state, self.store.read(self.schema.table(t.name), state).persist())
+        return self
+
+    def uncache(self, *tables: Table) -> None:
+        for t in tables or [self.schema.table(n) for n in list(self._cached)]:
+            if kept := self._cached.pop(t.name, None):
+                kept[1].unpersist()
+
+    def compact(self, table: Table) -> None:
+        """Writes a table's segments as one and removes all that no longer belong to it.
+
+        Nobody may read older snapshots of it any more, and no other handle may write to it meanwhile.
+        """
+        tx = self.create_transaction()
+        tx.begin([table])
+        try:
+            state = tx._work.states[table.name]
+            if len(state.paths) > 1 and state.external is None:
+                tx._work.put(table.name, tx._work.rewritten(table, state, self.store.read(table, state)))
+            self._commit(tx._work, tx._scope)
+            self.store.discard(self.store.segments(table.name) - set(self.states[table.name].paths))
+        finally:
+            tx._work.changed.clear(), tx._work.written.clear()
+            tx.rollback()
 
     def snapshot(self, table: Table) -> DataFrame:
         """The table's rows now, without the row id."""
@@ -100,9 +140,9 @@ class Database:
         self._alive()
         return DeleteBuilder(self)
 
-    def create_transaction(self, kind: TransactionType = TransactionType.READ_WRITE) -> Transaction:
+    def create_transaction(self, kind: TransactionType = TransactionType.READ_WRITE, priority: Priority = Priority.TRANSACTION) -> Transaction:
         self._alive()
-        return Transaction(self, kind)
+        return Transaction(self, kind, priority)
 
     def _run_alone(self, query):
         if isinstance(query, SelectBuilder):
@@ -121,6 +161,11 @@ class Database:
         self._alive()
         self.observers.add(query, callback)
 
+    def observe_frames(self, query: SelectBuilder, callback) -> None:
+        """For large results: after a commit ``callback`` gets (added, removed) rows as lazy DataFrames; nothing is collected."""
+        self._alive()
+        self.observers.add_frames(query, callback, query.exec_df())
+
     def unobserve(self, query: SelectBuilder, callback) -> None:
         self._alive()
         self.observers.remove(query, callback)
@@ -128,6 +173,7 @@ class Database:
     def _notify(self, changed: set[str]) -> None:
         for query in self.observers.touched(changed):
             self._run_alone(query)
+        self.observers.update_frames(changed)
 
     # --- export, import
 
@@ -163,14 +209,34 @@ class Database:
             if df is not None:
                 new, state, made = dml._new_rows(work, t, df)
                 work.put(n, state)
-        self._commit(work)
-
-    def _commit(self, work) -> None:
-        if work.changed:
-            self.store.commit(self.schema.name, self.schema.version, work.states, describe(self.schema))
-            self.states = work.states
+        self._commit(work, set(self.schema.tables))
+
+    def refresh(self) -> None:
+        """Takes over what other handles have committed to the store."""
+        if self.store.temporary:
+            return
+        with self._commits:
+            self.store.reload()
+            if self.store.version != self.schema.version:
+                raise EngineError(108)
+            self._take({})
+
+    def _take(self, mine: dict) -> None:
+        """The store's tables as of its manifest, but for attached ones; then ``mine``."""
+        theirs = {} if self.store.temporary else {t: self.store.state(t) for t, s in self.states.items() if s.external is None and t not in mine}
+        self.states = self.states | {t: s for t, s in theirs.items() if s != self.states[t]} | mine
+
+    def _commit(self, work, scope: set[str]) -> None:
+        """Only the tables that ``work`` changed are replaced; what others have committed meanwhile stays."""
+        if not work.changed:
+            return
+        with self._commits:
+            mine = {n: self.store.stored(self.schema.table(n), work.states[n]) for n in work.changed}
+            self.store.commit(self.schema.name, self.schema.version, mine, describe(self.schema), scope, work.base)
+            self._take(mine)
 
     def close(self) -> None:
+        self.uncache()
         self.open = False
         self.store.close()
         if self.on_close:
@@ -180,8 +246,8 @@ class Database:
 class Transaction:
     """``exec`` runs statements as one; ``begin``, ``attach`` and ``commit`` or ``rollback`` do so step by step."""
 
-    def __init__(self, db: Database, kind: TransactionType = TransactionType.READ_WRITE):
-        self.db, self.kind, self.state = db, kind, TransactionState()
+    def __init__(self, db: Database, kind: TransactionType = TransactionType.READ_WRITE, priority: Priority = Priority.TRANSACTION):
+        self.db, self.kind, self.state, self.priority = db, kind, TransactionState(), priority
         self._work, self._scope, self._write = None, set(), True
         self._counts, self._stats = [0, 0, 0], None
         self._deferred: set[str] = set()
@@ -243,8 +309,10 @@ class Transaction:
         return self._stats
 
     def _start(self, scope: set[str], write: bool) -> None:
-        self.db.locks.acquire(self, scope, write)
+        self.db.locks.acquire(self, scope, write, self.priority)
         self._scope, self._write = scope, write
+        if write:
+            self.db.refresh()
         self._work = dml.Work(self.db, self.db.states)
         self._before = dict(self.db.states)
 
@@ -271,10 +339,12 @@ class Transaction:
                 was = self.db.store.read(t, self._before[name]).select(*columns)
                 now = work.df(name).select(f.parent_column).withColumnRenamed(f.parent_column, "__now")
                 check_parents([f], was.join(now, was[f.parent_column] == now["__now"], "left_anti"), work.all())
-        self.db._commit(work)
+        self.db._commit(work, self._scope)
 
     def _end(self, ok: bool) -> None:
         changed = self._work.changed if ok and self._work else set()
+        if self._work:
+            self._work.discard(failed=not ok)
         self.state.now = "FINALIZED"
         self._stats = TransactionStats(ok, *(self._counts if ok else (0, 0, 0)), len(changed))
         self.db.locks.release(self, self._scope)

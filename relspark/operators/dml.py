@@ -6,6 +6,7 @@ deleted); it replaces states only after all immediate checks have passed.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -23,10 +24,11 @@ IMMEDIATE = ConstraintTiming.IMMEDIATE
 
 
 class Work:
-    """Tables in the making: reads see the changes made so far."""
+    """Tables in the making: reads see the changes made so far.  ``written``: its segments, which go if it fails."""
 
     def __init__(self, db, states: dict):
-        self.db, self.states, self.changed = db, dict(states), set()
+        self.db, self.states, self.base = db, dict(states), dict(db.store.manifest.get("tables", {}))
+        self.changed, self.written, self.scratch = set(), set(), set()
 
     def df(self, name: str) -> DataFrame:
         return self.db.store.read(self.db.schema.table(name), self.states[name])
@@ -38,6 +40,28 @@ class Work:
         self.states[name] = state
         self.changed.add(name)
 
+    def write(self, table: Table, df: DataFrame) -> str:
+        path = self.db.store.write(table, df)
+        self.written.add(path)
+        return path
+
+    def rewritten(self, table: Table, state, df: DataFrame):
+        out = self.db.store.rewritten(table, state, df)
+        self.written.update(out.paths)
+        return out
+
+    def parked(self, table: Table, df: DataFrame) -> DataFrame:
+        """``df`` written and read back, so that later steps do not compute it again; it goes when the work ends."""
+        path = f"{table.name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.db.store.root}/{path}")
+        self.scratch.add(path)
+        return self.db.spark.read.schema(df.schema).parquet(f"{self.db.store.root}/{path}")
+
+    def discard(self, failed: bool) -> None:
+        """Removes what no snapshot will name: all that was written if the work failed, else what it replaced itself."""
+        used = set() if failed else {p for n in self.changed for p in self.states[n].paths}
+        self.db.store.discard((self.written - used) | self.scratch)
+
 
 class _Tables:
     def __init__(self, work: Work):
@@ -66,7 +90,7 @@ def _new_rows(work: Work, table: Table, rows) -> tuple[DataFrame, object, list[d
         missing = [c for c in table.columns if c.name not in rows.columns]
         df = rows.withColumns({c.name: F.lit(None).cast(table.spark_type(c)) for c in missing}) if missing else rows
         df = df.select(*(F.col(c.name).cast(table.spark_type(c)).alias(c.name) for c in table.columns), F.monotonically_increasing_id().alias(ROW_ID))
-        path = db.store.write(table, df.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(s.next_rid)) if not auto else df.withColumns({auto: F.when(F.coalesce(F.col(auto), F.lit(0)) == 0, F.lit(s.max_auto + 1) + F.col(ROW_ID)).otherwise(F.col(auto)), ROW_ID: F.col(ROW_ID) + F.lit(s.next_rid)}))
+        path = work.write(table, df.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(s.next_rid)) if not auto else df.withColumns({auto: F.when(F.coalesce(F.col(auto), F.lit(0)) == 0, F.lit(s.max_auto + 1) + F.col(ROW_ID)).otherwise(F.col(auto)), ROW_ID: F.col(ROW_ID) + F.lit(s.next_rid)}))
         new = db.store.read(table, replace(s, paths=(path,), external=None))
         top, most = new.agg(F.max(ROW_ID), F.max(auto) if auto else F.lit(0)).first()
         return new, replace(s, paths=(*s.paths, path), next_rid=s.next_rid if top is None else top + 1, max_auto=max(s.max_auto, most or 0)), None
@@ -90,7 +114,7 @@ def insert(work: Work, q) -> tuple:
     columns = [c.name for c in table.columns]
     check_unique(table, old.select(*columns).unionByName(new.select(*columns)), new)
     if made is not None:
-        state = replace(state, paths=(*state.paths, work.db.store.write(table, new)))
+        state = replace(state, paths=(*state.paths, work.write(table, new)))
     work.put(table.name, state)
     check_children(work.db.schema, table.name, new, work.all(), IMMEDIATE)
     return made, len(made) if made is not None else new.count(), 0, 0
@@ -121,7 +145,7 @@ def insert_or_replace(work: Work, q) -> tuple:
             lost = merged.filter(F.col("__old").isNotNull() & F.col(f"__was_{f.parent_column}").isNotNull() & ~F.col(f"__was_{f.parent_column}").eqNullSafe(F.col(f.parent_column))).select(F.col(f"__was_{f.parent_column}").alias(f.parent_column))
             check_parents([f], lost, work.all())
     total = made is not None and len(made) or last.count()
-    done = work.db.store.rewritten(table, state, after)
+    done = work.rewritten(table, state, after)
     work.put(table.name, done)
     check_children(work.db.schema, table.name, coming, work.all(), IMMEDIATE)
     distinct = total if made is None else len({tuple(r[c] for c in pk) for r in made})
@@ -151,7 +175,7 @@ def update(work: Work, q) -> tuple:
     if any(c.name in values for i in table.unique_keys() for c in i.columns):
         check_unique(table, after.select(*columns), fresh)
     before = dict(work.states)
-    work.put(table.name, db.store.rewritten(table, _counters(work, table), after))
+    work.put(table.name, work.rewritten(table, _counters(work, table), after))
     old_rows = db.store.read(table, before[table.name]).alias(table.effective_name).filter(hit)
     cascaded = 0
     for fk in db.schema.referring(table.name):
@@ -165,7 +189,7 @@ def update(work: Work, q) -> tuple:
                 cascaded += rows.filter("__old is not null").count()
                 names = [c for c in rows.columns if c != "__old"]
                 rows = rows.select(*(F.when(F.col("__old").isNotNull(), lit[fk.parent_column]).otherwise(F.col(c)).alias(c) if c == fk.child_column else F.col(c) for c in names))
-                work.put(fk.child_table, db.store.rewritten(child, _counters(work, child), rows))
+                work.put(fk.child_table, work.rewritten(child, _counters(work, child), rows))
             elif fk.timing is IMMEDIATE:
                 check_parents([fk], moved, work.all())
     if any(f.child_column in values for f in table.foreign_keys):
@@ -177,7 +201,9 @@ def delete(work: Work, q) -> tuple:
     """Rows go, and with them, level by level, the rows of cascading children; restricting children stop it."""
     table, db = q.table, work.db
     old = work.df(table.name).alias(table.effective_name)
-    gone = {table.name: [old.filter(_matching(q))]}
+    cascades = bool(db.schema.referring(table.name))
+    first = old.filter(_matching(q))
+    gone = {table.name: [work.parked(table, first) if cascades else first]}
     kept = {table.name: old.filter(~_matching(q))}
     total = gone[table.name][0].count()
     todo = [(table.name, gone[table.name][0])] if total else []
@@ -189,7 +215,7 @@ def delete(work: Work, q) -> tuple:
             child = kept.get(fk.child_table)
             child = work.df(fk.child_table) if child is None else child
             on = F.col(fk.child_column) == F.col("__gone")
-            lost = child.join(keys, on, "left_semi")
+            lost = work.parked(db.schema.table(fk.child_table), child.join(keys, on, "left_semi"))  # one level's cost, whatever is above it
             if n := lost.count():
                 deleted += n
                 kept[fk.child_table] = child.join(keys, on, "left_anti")
@@ -201,7 +227,7 @@ def delete(work: Work, q) -> tuple:
     for name, rows in kept.items():
         t = db.schema.table(name)
         state = _counters(work, t)
-        work.put(name, replace(state, paths=(), external=None) if name == table.name and q.predicate is None else db.store.rewritten(t, state, rows))
+        work.put(name, replace(state, paths=(), external=None) if name == table.name and q.predicate is None else work.rewritten(t, state, rows))
     for name, parts in gone.items():
         fks = [f for f in db.schema.referring(name, ConstraintAction.RESTRICT) if f.timing is IMMEDIATE]
         for part in parts:

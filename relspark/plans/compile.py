@@ -1,7 +1,8 @@
 """SelectContext -> DataFrame.
 
 Joins keep their call order and conditions; filters, pruning, join strategy and skew are Catalyst's.  Nothing here
-collects.  A table's hidden row id, where it has one, decides "first" and "last" of columns that are not grouped.
+collects.  A table's hidden row id, where it has one, decides "first" and "last" of columns that are not grouped, and the
+order of rows (or groups: by their first row) that sort keys leave open, so that pages over ties are the same in each run.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ def _joined(ctx, tables) -> DataFrame:
     return df if ctx.where is None else df.filter(ctx.where.to_column(resolve, ctx.binds))
 
 
-def _row_order(ctx, tables) -> Col | None:
+def _row_ids(ctx, tables) -> list[Col]:
     ids = [F.col(f"`{t.effective_name}`.`{ROW_ID}`") for t, _, _ in ctx.items if ROW_ID in tables[t.name].columns]
-    return F.struct(*ids) if len(ids) == len(ctx.items) else None
+    return ids if len(ids) == len(ctx.items) else []
 
 
 def _sorted(df: DataFrame, keys: list[tuple[Col, Order]]) -> DataFrame:
@@ -65,7 +66,8 @@ def compile_select(ctx, tables: dict[str, DataFrame], nested: bool = False) -> D
     columns = ctx.columns or [c for t, _, _ in ctx.items for c in t.columns]
     if any(isinstance(c, Aggregate) for c in columns) or ctx.group_by:
         return _grouped(ctx, df, columns, tables)
-    df = _paged(ctx, _sorted(df, [(resolve(c), o) for c, o in ctx.order_by]))
+    ties = [(i, Order.ASC) for i in _row_ids(ctx, tables)] if ctx.order_by else []
+    df = _paged(ctx, _sorted(df, [(resolve(c), o) for c, o in ctx.order_by] + ties))
     return df.select(*_projection(ctx, columns, resolve, nested))
 
 
@@ -92,7 +94,8 @@ def _grouped(ctx, df: DataFrame, columns, tables) -> DataFrame:
         df = df.select(resolve(c.base).alias(output_name(c))).distinct()
         return _paged(ctx, _sorted(df, [(F.col(f"`{output_name(c)}`"), o) for _, o in ctx.order_by]))
     keys = {k.normalized_name: f"__g{i}" for i, k in enumerate(ctx.group_by or [])}
-    order = _row_order(ctx, tables)
+    ids = _row_ids(ctx, tables)
+    order = F.struct(*ids) if ids else None
     made: dict[str, tuple[str, Col]] = {}
 
     def slot(c, last=False) -> Col:
@@ -111,6 +114,9 @@ def _grouped(ctx, df: DataFrame, columns, tables) -> DataFrame:
 
     projected = [slot(c) for c in columns]
     sort = [(slot(c, last=True), o) for c, o in ctx.order_by]
+    if sort and order is not None:
+        made["ties"] = ("__ties", F.min(order))
+        sort.append((F.col("__ties"), Order.ASC))
     values = [v.alias(n) for n, v in made.values()]
     by = df.groupBy(*(resolve(k).alias(keys[k.normalized_name]) for k in ctx.group_by or []))
     df = by.agg(*values) if values else df.select(*(resolve(k).alias(keys[k.normalized_name]) for k in ctx.group_by)).distinct()

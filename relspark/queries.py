@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Database
+from .errors import EngineError
 from .functions import bind, fn, op
 from .operators.constraints import null_rows, orphans, repeated_keys
 from .schema import ForeignKey, create
 from .streaming.observe import result_diff
-from .types import ConstraintAction, Order, Type
+from .types import ConstraintAction, ConstraintTiming, Order, Type
 
 TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
 #: Where a query needs nulls, which the tables lack.
@@ -268,9 +269,16 @@ def join_left_theta(db, s, r):
     return db.select(s.s_suppkey, r.r_regionkey).from_(s).left_outer_join(r, s.s_nationkey.lt(r.r_regionkey))
 
 
-@query(None, "nation", "region")
+@query("SELECT to_json({'n_name': n_name, 'n_nationkey': n_nationkey})::varchar AS nation, to_json({'r_name': r_name})::varchar AS region FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
 def join_nested_structs(db, n, r):
-    return db.select(n.n_name, n.n_nationkey, r.r_name).from_(n).inner_join(r, n.n_regionkey.eq(r.r_regionkey)).exec_df(nested=True)
+    df = db.select(n.n_name, n.n_nationkey, r.r_name).from_(n).inner_join(r, n.n_regionkey.eq(r.r_regionkey)).exec_df(nested=True)
+    return df.select(*(F.to_json(c).alias(c) for c in df.columns))  # one struct for each table, as text
+
+
+@query(f"SELECT o_orderkey, c_custkey FROM {N_ORDERS} JOIN {N_CUSTOMER} ON o_custkey = c_custkey AND o_orderpriority = c_mktsegment", "orders", "customer", nulls=True)
+def join_residual_nulls(db, o, c):
+    """A second predicate between joined tables: null matches nothing."""
+    return db.select(o.o_orderkey, c.c_custkey).from_(o, c).where(op.and_(o.o_custkey.eq(c.c_custkey), o.o_orderpriority.eq(c.c_mktsegment)))
 
 
 # --- aggregates
@@ -423,19 +431,37 @@ def group_empty(db, t):
 # --- order, paging
 
 
-@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 50", "part")
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey", "part")
 def order_asc(db, t):
-    return db.select(t.p_partkey, t.p_retailprice).from_(t).order_by(t.p_retailprice).order_by(t.p_partkey).limit(50)
+    return db.select(t.p_partkey, t.p_retailprice).from_(t).order_by(t.p_retailprice).order_by(t.p_partkey)
 
 
-@query(f"SELECT p_partkey, p_size FROM {N_PART} ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 50", "part", nulls=True)
+@query(f"SELECT p_partkey, p_size FROM {N_PART} ORDER BY p_size DESC NULLS LAST, p_partkey", "part", nulls=True)
 def order_desc(db, t):
-    return db.select(t.p_partkey, t.p_size).from_(t).order_by(t.p_size, Order.DESC).order_by(t.p_partkey).limit(50)
+    return db.select(t.p_partkey, t.p_size).from_(t).order_by(t.p_size, Order.DESC).order_by(t.p_partkey)
 
 
-@query(f"SELECT p_partkey FROM {N_PART} ORDER BY p_brand DESC, p_size NULLS FIRST, p_partkey LIMIT 60", "part", nulls=True)
+@query(f"SELECT p_partkey FROM {N_PART} ORDER BY p_brand DESC, p_size NULLS FIRST, p_partkey", "part", nulls=True)
 def order_multi(db, t):
-    return db.select(t.p_partkey).from_(t).order_by(t.p_brand, Order.DESC).order_by(t.p_size).order_by(t.p_partkey).limit(60)
+    return db.select(t.p_partkey).from_(t).order_by(t.p_brand, Order.DESC).order_by(t.p_size).order_by(t.p_partkey)
+
+
+@query(f"SELECT p_partkey, p_brand FROM {N_PART} ORDER BY p_brand, p_partkey LIMIT 70 OFFSET 25", "part", nulls=True)
+def order_ties_paged(db, t):
+    """Rows that tie stay in the order of the table, so that a page over ties is the same each time."""
+    return db.select(t.p_partkey, t.p_brand).from_(t).order_by(t.p_brand).limit(70).skip(25)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, min(o_orderkey) LIMIT 20", "orders")
+def order_ties_groups(db, t):
+    """Groups that tie stay in the order of their first rows."""
+    return db.select(t.o_custkey, fn.count().as_("n")).from_(t).group_by(t.o_custkey).order_by(fn.count(), Order.DESC).limit(20)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY arg_max(o_totalprice, o_orderkey) DESC, o_custkey LIMIT 15", "orders")
+def order_by_last_row(db, t):
+    """A column that is not grouped sorts by the group's last row."""
+    return db.select(t.o_custkey, fn.count().as_("n")).from_(t).group_by(t.o_custkey).order_by(t.o_totalprice, Order.DESC).order_by(t.o_custkey).limit(15)
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10", "orders")
@@ -453,9 +479,9 @@ def order_by_distinct(db, t):
     return db.select(fn.distinct(t.p_brand).as_("v")).from_(t).order_by(fn.distinct(t.p_brand), Order.DESC).limit(5)
 
 
-@query("SELECT p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25", "part")
+@query("SELECT p_name FROM part ORDER BY p_retailprice DESC, p_partkey", "part")
 def order_nonprojected(db, t):
-    return db.select(t.p_name).from_(t).order_by(t.p_retailprice, Order.DESC).order_by(t.p_partkey).limit(25)
+    return db.select(t.p_name).from_(t).order_by(t.p_retailprice, Order.DESC).order_by(t.p_partkey)
 
 
 for _name, _limit, _skip in (("limit", 13, None), ("limit_zero", 0, None), ("skip", None, 5), ("skip_zero", None, 0), ("limit_skip", 10, 15)):
@@ -543,6 +569,87 @@ def fk_cascade_update(db, r, n):
     return other.snapshot(n)
 
 
+def _refused(f) -> int:
+    """The number of the error that ``f`` ends with; 0 if it does not."""
+    try:
+        f()
+    except EngineError as e:
+        return e.code
+    return 0
+
+
+@query("SELECT n_nationkey::bigint AS n_nationkey, 203 AS code FROM nation", "region", "nation")
+def fk_restrict_delete(db, r, n):
+    """A restricting child stops the deletion, and all rows stay."""
+    other, r, n = _linked(db, ConstraintAction.RESTRICT)
+    code = _refused(other.delete().from_(r).where(r.r_regionkey.eq(2)).exec)
+    return other.snapshot(n).select("n_nationkey", F.lit(code).alias("code"))
+
+
+@query("SELECT 203 AS code, count(*) AS n FROM nation", "region", "nation")
+def fk_restrict_insert(db, r, n):
+    other, r, n = _linked(db, ConstraintAction.RESTRICT)
+    code = _refused(other.insert().into(n).values([{"n_nationkey": 900, "n_name": "X", "n_regionkey": 901}]).exec)
+    return other.snapshot(n).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"))
+
+
+def _late(db):
+    """region and nation with a foreign key that is checked at the end of a transaction."""
+    b = create("late")
+    b.create_table("region").add_column("id", Type.INTEGER).add_primary_key(["id"])
+    b.create_table("nation").add_column("id", Type.INTEGER).add_column("region", Type.INTEGER).add_primary_key(["id"]).add_foreign_key("fk", "region", "region.id", timing=ConstraintTiming.DEFERRABLE)
+    other = b.connect(db.spark)
+    return other, other.table("region"), other.table("nation")
+
+
+@query("SELECT 0 AS code, r_regionkey::bigint AS id FROM region", "region", "nation")
+def fk_deferrable_commit(db, r, n):
+    """Children come before their parents within one transaction."""
+    other, r2, n2 = _late(db)
+    rows = db.select(n.n_nationkey.as_("id"), n.n_regionkey.as_("region")).from_(n).exec_df()
+    parents = db.select(r.r_regionkey.as_("id")).from_(r).exec_df()
+    code = _refused(lambda: other.create_transaction().exec([other.insert().into(n2).values(rows), other.insert().into(r2).values(parents)]))
+    return other.snapshot(r2).select(F.lit(code).alias("code"), "id")
+
+
+@query("SELECT 203 AS code, 0::bigint AS n FROM region LIMIT 1", "region", "nation")
+def fk_deferrable_refused(db, r, n):
+    other, _, n2 = _late(db)
+    rows = db.select(n.n_nationkey.as_("id"), n.n_regionkey.as_("region")).from_(n).exec_df()
+    code = _refused(other.insert().into(n2).values(rows).exec)
+    return other.snapshot(n2).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"))
+
+
+def _keyed(db, p, *unique):
+    b = create("keyed")
+    b.create_table("t").add_column("id", Type.INTEGER).add_column("a", Type.INTEGER).add_column("b", Type.INTEGER).add_primary_key(["id"]).add_nullable(["a", "b"]).add_unique("uq", list(unique))
+    other = b.connect(db.spark)
+    return other, other.table("t"), db.snapshot(p).selectExpr("p_partkey id", "case when p_partkey % 3 = 0 then p_partkey end a", "cast(null as bigint) b")
+
+
+@query("SELECT 0 AS code, count(*) AS n FROM part", "part")
+def unique_null_one_column(db, p):
+    """Nulls in a unique column do not clash."""
+    other, t, rows = _keyed(db, p, "a")
+    code = _refused(other.insert().into(t).values(rows).exec)
+    return other.snapshot(t).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 201 AS code, 0::bigint AS n FROM part LIMIT 1", "part")
+def unique_null_two_columns(db, p):
+    """Keys of several columns clash if all values are the same, nulls included."""
+    other, t, rows = _keyed(db, p, "a", "b")
+    code = _refused(other.insert().into(t).values(rows).exec)
+    return other.snapshot(t).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 526 AS code, count(*) AS n FROM part", "part")
+def group_missing_error(db, p):
+    """A plain column beside an aggregate needs grouping."""
+    code = _refused(db.select(p.p_name, fn.count()).from_(p).exec_df)
+    return db.snapshot(p).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)", "orders", "customer")
 def fk_violations(db, o, c):
     parents = db.select().from_(c).where(c.c_acctbal.gte(0.0)).exec_df()
@@ -590,6 +697,41 @@ def tx_read_own_writes(db, r):
     return db.spark.createDataFrame([(seen[0]["n"],)], "n long")
 
 
+@query("SELECT r_regionkey::bigint AS id, r_name AS name FROM region WHERE r_regionkey <= 2 UNION ALL SELECT 100 + n_nationkey, CASE WHEN n_nationkey > 9 THEN 'NONE' ELSE n_name END FROM nation", "region", "nation")
+def tx_concurrent(db, r, n):
+    """Two transactions on different tables are open at once; both commits stay."""
+    one, two = db.create_transaction(), db.create_transaction()
+    one.begin([r]), two.begin([n])
+    one.attach(db.delete().from_(r).where(r.r_regionkey.gt(2)))
+    one.commit()
+    two.attach(db.update(n).set(n.n_name, "NONE").where(n.n_nationkey.gt(9)))
+    two.commit()
+    rest = db.snapshot(r).selectExpr("cast(r_regionkey as bigint) id", "r_name name")
+    return rest.unionByName(db.snapshot(n).selectExpr("cast(100 + n_nationkey as bigint) id", "n_name name"))
+
+
+@query("SELECT true AS success, 1::bigint AS inserted, count(*) FILTER (r_regionkey > 2)::bigint AS updated, count(*) FILTER (r_regionkey < 2)::bigint AS deleted, 1::bigint AS tables FROM region", "region")
+def tx_stats(db, r):
+    tx = db.create_transaction()
+    tx.exec([db.insert().into(r).values([{"r_regionkey": 2000, "r_name": "NEW"}]), db.update(r).set(r.r_name, "X").where(r.r_regionkey.between(3, 1999)), db.delete().from_(r).where(r.r_regionkey.lt(2))])
+    s = tx.stats()
+    return db.spark.createDataFrame([(s.success, s.inserted_row_count, s.updated_row_count, s.deleted_row_count, s.changed_table_count)], "success boolean, inserted long, updated long, deleted long, tables long")
+
+
+@query("SELECT 'removed' AS change, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'added', 'LATE'", "nation")
+def observer_splices(db, n):
+    """What an observer of an ordered result is told about two commits."""
+    seen: list = []
+    q = db.select(n.n_name).from_(n).where(n.n_regionkey.lte(1)).order_by(n.n_nationkey)
+    db.observe(q, seen.extend)
+    q.exec()
+    seen.clear()
+    db.delete().from_(n).where(n.n_regionkey.eq(1)).exec()
+    db.insert().into(n).values([{"n_nationkey": 999, "n_name": "LATE", "n_regionkey": 0}]).exec()
+    told = [("removed", x["n_name"]) for c in seen for x in c["removed"]] + [("added", c["object"][c["index"]]["n_name"]) for c in seen if c["added_count"]]
+    return db.spark.createDataFrame(told, "change string, n_name string")
+
+
 @query(
     "SELECT 'added' AS change, c_custkey, 0.0::double AS c_acctbal FROM customer WHERE c_acctbal < -500 UNION ALL SELECT 'removed', c_custkey, c_acctbal FROM customer WHERE c_acctbal < -500", "customer"
 )

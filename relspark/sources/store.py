@@ -75,20 +75,50 @@ class Store:
             return self.spark.createDataFrame([], stored_struct(table))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
-    def commit(self, name: str, version: int, states: dict[str, State], schema: dict | None = None) -> None:
-        if not self.temporary:
-            if any(s.external is not None for s in states.values()):
-                states = {t: s if s.external is None else State() for t, s in states.items()}
-            made = {"name": name, "version": version, "schema": schema or self.manifest.get("schema"), "tables": {t: {"paths": list(s.paths), "next_rid": s.next_rid, "max_auto": s.max_auto} for t, s in states.items()}}
-            if not self.files.create(f"manifest-{self.number + 1}.json", json.dumps(made)):
+    def stored(self, table: Table, state: State) -> State:
+        """``state`` with the rows that live elsewhere written as a segment of its own, which comes first."""
+        if state.external is None or self.temporary:
+            return state
+        rows = state.external
+        if ROW_ID not in rows.columns:  # below every id that rows written here have
+            rows = rows.withColumn(ROW_ID, F.monotonically_increasing_id() - F.lit(1 << 62))
+        return replace(state, paths=(self.write(table, rows), *state.paths), external=None)
+
+    def commit(self, name: str, version: int, states: dict[str, State], schema: dict | None = None, scope: set[str] | None = None, base: dict | None = None) -> None:
+        """The next manifest: ``states`` over the tables as they are, or, without a ``scope``, ``states`` alone.
+
+        If another writer was first, this one goes on from that writer's manifest, unless a table of its scope is no longer
+        as in ``base``, the tables that it started from.
+        """
+        if self.temporary:
+            return
+        mine = {t: {"paths": list(s.paths), "next_rid": s.next_rid, "max_auto": s.max_auto} for t, s in states.items()}
+        while True:
+            was = self.manifest.get("tables", {})
+            if scope is not None and any(was.get(t) != base.get(t) for t in scope | set(mine)):
+                raise EngineError(107, "COMMITTING", "FINALIZED: another writer was first")
+            made = {"name": name, "version": version, "schema": schema or self.manifest.get("schema"), "tables": mine if scope is None else was | mine}
+            if self.files.create(f"manifest-{self.number + 1}.json", json.dumps(made)):
+                self.number, self.manifest = self.number + 1, made
+                return
+            before = self.number
+            self.reload()
+            if scope is None or self.number == before or self.version != version:
                 raise EngineError(107, "COMMITTING", "FINALIZED: another writer was first")
-            self.number, self.manifest = self.number + 1, made
 
     def rewritten(self, table: Table, state: State, df: DataFrame) -> State:
         if ROW_ID not in df.columns:
             df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
         return replace(state, paths=(self.write(table, df),), external=None)
 
+    def discard(self, paths) -> None:
+        """Removes segments that no snapshot names."""
+        for p in paths:
+            self.files.delete(p)
+
+    def segments(self, name: str) -> set[str]:
+        return {f"{name}/{n}" for n in Files(self.spark, f"{self.root}/{name}").names()}
+
     def close(self) -> None:
         if self.temporary:
             self.files.delete()

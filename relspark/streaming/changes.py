@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..locks import Priority
+
 
 def follow(spark: SparkSession, db, table, folder: str, checkpoint: str, kind: str = "parquet"):
     """A streaming query that inserts or replaces rows which arrive in ``folder``; exactly once by primary key."""
@@ -11,6 +13,6 @@ def follow(spark: SparkSession, db, table, folder: str, checkpoint: str, kind: s
 
     def apply(batch, _):
         if not batch.isEmpty():
-            db.insert_or_replace().into(table).values(batch).exec()
+            db.create_transaction(priority=Priority.EXTERNAL_CHANGE).exec([db.insert_or_replace().into(table).values(batch)])
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -16,7 +16,8 @@ def result_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 def splices(old: list, new: list) -> list[dict]:
     """Records that turn ``old`` into ``new``: removals first, then additions; a changed row is one of each.
 
-    The rows that stay are a longest common subsequence.
+    The rows that stay are a longest common subsequence, found by the shortest edit script: work and memory grow with
+    the number of changes, not with the product of the lengths.
     """
     n, m = len(old), len(new)
     head = 0
@@ -26,19 +27,8 @@ def splices(old: list, new: list) -> list[dict]:
     while tail < min(n, m) - head and old[n - 1 - tail] == new[m - 1 - tail]:
         tail += 1
     a, b = old[head : n - tail], new[head : m - tail]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    keep_a, keep_b, i, j = set(), set(), 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            keep_a.add(i), keep_b.add(j)
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    same = _common(a, b)
+    keep_a, keep_b = {i for i, _ in same}, {j for _, j in same}
     current, out = list(old), []
 
     def record(index, removed, added):
@@ -58,9 +48,48 @@ def splices(old: list, new: list) -> list[dict]:
     return out
 
 
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence: for each number of edits, how far each diagonal gets."""
+    reach, steps = {1: 0}, []
+    for d in range(len(a) + len(b) + 1):
+        steps.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
+                i += 1
+            reach[k] = i
+            if i >= len(a) and i - k >= len(b):
+                return _walked_back(steps, len(a), len(b))
+    return []
+
+
+def _walked_back(steps: list[dict], i: int, j: int) -> list[tuple[int, int]]:
+    out = []
+    for d in range(len(steps) - 1, -1, -1):
+        reach, k = steps[d], i - j
+        before = k + 1 if k == -d or k != d and reach[k - 1] < reach[k + 1] else k - 1
+        x = reach[before] if d else 0
+        y = x - before if d else 0
+        while i > x and j > y:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        i, j = x, y
+    return out[::-1]
+
+
 class Observers:
     def __init__(self):
         self._all: list[list] = []  # [query, callbacks, last result]
+        self._frames: list[list] = []  # [query, callback, last result as a DataFrame]
+
+    def add_frames(self, query, callback, now: DataFrame) -> None:
+        self._frames.append([query, callback, now])
+
+    def update_frames(self, tables: set[str]) -> None:
+        for entry in self._frames:
+            if entry[0].scope() & tables:
+                last, entry[2] = entry[2], entry[0].exec_df()
+                entry[1](*result_diff(last, entry[2]))
 
     def add(self, query, callback) -> None:
         for entry in self._all:
@@ -74,6 +103,7 @@ class Observers:
             if entry[0] is query and callback in entry[1]:
                 entry[1].remove(callback)
         self._all = [e for e in self._all if e[1]]
+        self._frames = [e for e in self._frames if e[0] is not query or e[1] != callback]
 
     def update(self, query, rows: list) -> None:
         for entry in self._all:

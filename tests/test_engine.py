@@ -343,3 +343,168 @@ def test_bulk_import_and_export_by_folder(spark, tmp_path):
     e = staff().connect(spark)
     e.import_from(str(tmp_path / "x"), "staff", 1)
     assert e.select(fn.count().as_("n"), fn.sum(e.table("Job").low).as_("s")).from_(e.table("Job")).exec() == [{"n": 50, "s": 1225.0}]
+
+
+def pair():
+    b = create("pair", 1)
+    for n in "AB":
+        b.create_table(n).add_column("id", Type.INTEGER).add_column("s", Type.STRING).add_primary_key(["id"])
+    return b
+
+
+def put(d, t, *keys):
+    return d.insert().into(t).values([{"id": k, "s": "x"} for k in keys])
+
+
+@pytest.mark.parametrize("kind", ["memory", "parquet"])
+def test_two_transactions_at_once(spark, tmp_path, kind):
+    d = pair().connect(spark, **({} if kind == "memory" else {"store": kind, "path": str(tmp_path / "p")}))
+    a, b = d.table("A"), d.table("B")
+    one, two = d.create_transaction(), d.create_transaction()
+    one.begin([a]), two.begin([b])
+    one.attach(put(d, a, 1))
+    one.commit()
+    two.attach(put(d, b, 2))
+    two.commit()
+    assert ids(d.select().from_(a).exec()) == [1] and ids(d.select().from_(b).exec()) == [2]
+    one, two = d.create_transaction(), d.create_transaction()
+    one.begin([a]), two.begin([b])
+    one.attach(put(d, a, 3)), two.attach(put(d, b, 4))
+    two.rollback()
+    one.commit()
+    assert ids(d.select().from_(a).exec()) == [1, 3] and ids(d.select().from_(b).exec()) == [2]
+    d.close()
+
+
+def test_two_handles_on_one_store(spark, tmp_path):
+    path = str(tmp_path / "p")
+    one, two = (pair().connect(spark, store="parquet", path=path) for _ in range(2))
+    t1, t2 = one.create_transaction(), two.create_transaction()
+    t1.begin([one.table("A")]), t2.begin([two.table("B")])
+    t1.attach(put(one, one.table("A"), 1)), t2.attach(put(two, two.table("B"), 2))
+    t1.commit(), t2.commit()  # different tables: the second goes on from the first
+    assert [ids(two.select().from_(two.table(n)).exec()) for n in "AB"] == [[1], [2]]
+    put(one, one.table("B"), 3).exec()  # takes over the other's rows first
+    assert ids(one.select().from_(one.table("B")).exec()) == [2, 3]
+    t1, t2 = one.create_transaction(), two.create_transaction()
+    t1.begin([one.table("A")]), t2.begin([two.table("A")])
+    t1.attach(put(one, one.table("A"), 5)), t2.attach(put(two, two.table("A"), 6))
+    t1.commit()
+    assert code(t2.commit) == 107
+    two.refresh()
+    assert ids(two.select().from_(two.table("A")).exec()) == [1, 5]
+    one.close(), two.close()
+    three = pair().connect(spark, store="parquet", path=path)
+    assert [ids(three.select().from_(three.table(n)).exec()) for n in "AB"] == [[1, 5], [2, 3]]
+
+
+def test_attached_rows_are_kept(spark, tmp_path):
+    path = str(tmp_path / "p")
+    d = pair().connect(spark, store="parquet", path=path)
+    put(d, d.table("B"), 8).exec()
+    d.attach("A", spark.range(3).selectExpr("id", "'y' s")).attach("B", spark.range(2).selectExpr("id", "'z' s"))
+    put(d, d.table("A"), 9).exec()
+    assert ids(d.select().from_(d.table("A")).exec()) == [0, 1, 2, 9]
+    d.close()
+    d = pair().connect(spark, store="parquet", path=path)
+    rows = d.select().from_(d.table("A")).order_by(d.table("A").s, Order.DESC).exec()
+    assert [r["id"] for r in rows] == [0, 1, 2, 9]  # the attached rows come first
+    assert ids(d.select().from_(d.table("B")).exec()) == [8]  # what was attached and not changed is not stored, nor does it undo what was
+    d.close()
+
+
+def test_segments_go_and_are_merged(spark, tmp_path):
+    d = pair().connect(spark, store="parquet", path=str(tmp_path / "p"))
+    a = d.table("A")
+    for k in (1, 2, 3):
+        put(d, a, k).exec()
+    assert code(put(d, a, 1).exec) == 201
+    assert d.store.segments("A") == set(d.states["A"].paths) and len(d.states["A"].paths) == 3
+    d.update(a).set(a.s, "z").where(a.id.eq(2)).exec()
+    put(d, a, 4).exec()
+    d.compact(a)
+    assert d.store.segments("A") == set(d.states["A"].paths) and len(d.states["A"].paths) == 1
+    d.close()
+    d = pair().connect(spark, store="parquet", path=str(tmp_path / "p"))
+    assert [(r["id"], r["s"]) for r in d.select().from_(d.table("A")).order_by(d.table("A").id).exec()] == [(1, "x"), (2, "z"), (3, "x"), (4, "x")]
+
+
+def test_cached_tables(spark):
+    d = pair().connect(spark)
+    a = d.table("A")
+    put(d, a, 1, 2).exec()
+    d.cache(a)
+    assert "InMemoryTableScan" in d.select(a.id).from_(a).explain() and ids(d.select().from_(a).exec()) == [1, 2]
+    put(d, a, 3).exec()
+    assert "InMemoryTableScan" in d.select(a.id).from_(a).explain() and ids(d.select().from_(a).exec()) == [1, 2, 3]
+    d.uncache()
+    assert "InMemoryTableScan" not in d.select(a.id).from_(a).explain()
+
+
+def test_ties_keep_the_order_of_rows(spark):
+    d = pair().connect(spark)
+    a = d.table("A")
+    for k in (range(40, 20, -1), range(20), range(41, 60)):
+        put(d, a, *k).exec()
+    q = d.select(a.id).from_(a).order_by(a.s)
+    assert [r["id"] for r in q.exec()] == [*range(40, 20, -1), *range(20), *range(41, 60)]
+    assert [r["id"] for r in d.select(a.id).from_(a).order_by(a.s).skip(18).limit(4).exec()] == [22, 21, 0, 1]
+    g = d.select(a.id, fn.count().as_("n")).from_(a).group_by(a.id).order_by(fn.count()).limit(3)
+    assert [r["id"] for r in g.exec()] == [40, 39, 38]
+
+
+def test_large_results_are_observed_as_frames(spark):
+    d = pair().connect(spark)
+    a, seen = d.table("A"), []
+    put(d, a, *range(50)).exec()
+    q = d.select(a.id).from_(a).where(a.id.gte(10))
+    see = lambda added, removed: seen.append((ids(r.asDict() for r in added.collect()), ids(r.asDict() for r in removed.collect())))
+    d.observe_frames(q, see)
+    d.delete().from_(a).where(a.id.between(5, 11)).exec()
+    put(d, a, 70).exec()
+    assert seen == [([], [10, 11]), ([70], [])]
+    d.unobserve(q, see)
+    put(d, a, 71).exec()
+    assert len(seen) == 2
+
+
+def test_splices_of_long_results():
+    old = [{"k": k} for k in range(20_000)]
+    new = [r for r in old if r["k"] not in (5, 9_000)] + [{"k": -1}]
+    got = splices(old, new)
+    assert [(c["index"], c["removed"], c["added_count"]) for c in got] == [(5, [{"k": 5}], 0), (9_000, [{"k": 9_000}], 0), (19_998, [], 1)] and got[-1]["object"] == new
+
+
+def test_urgent_tasks_go_first():
+    import threading
+    import time
+
+    from relspark.locks import LockManager, Priority
+
+    m, t, order = LockManager(), {"T"}, []
+    m.acquire("first", t, True)
+
+    def run(name, priority):
+        m.acquire(name, t, True, priority)
+        order.append(name)
+        m.release(name, t)
+
+    threads = []
+    for name, priority in (("user", Priority.USER_QUERY), ("later", Priority.TRANSACTION), ("urgent", Priority.EXTERNAL_CHANGE)):
+        threads.append(threading.Thread(target=run, args=(name, priority)))
+        threads[-1].start()
+        time.sleep(0.1)
+    m.release("first", t)
+    for x in threads:
+        x.join(5)
+    assert order == ["urgent", "user", "later"]
+
+
+@pytest.mark.parametrize(("name", "keys"), [("order_asc", "p_retailprice, p_partkey"), ("order_desc", "p_size DESC NULLS LAST, p_partkey"), ("order_multi", "p_brand DESC, p_size NULLS FIRST, p_partkey")])
+def test_whole_tables_come_sorted(spark, name, keys):
+    import duckdb
+
+    from relspark.queries import QUERIES
+
+    want = duckdb.sql(f"SELECT p_partkey FROM (SELECT * REPLACE (CASE WHEN '{name}' = 'order_asc' THEN p_size ELSE NULLIF(p_size, 7) END AS p_size) FROM '/root/testdata/sf0.001/part.parquet') ORDER BY {keys}").fetchall()
+    assert [(r.p_partkey,) for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()] == want
