@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have at most; the callers broadcast rows of a few fixed-width columns.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their values, that a broadcast side may have at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +59,13 @@ def durable(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it has at most ``rows`` rows; else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes; else as it is (a shuffled join)."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    fixed = sum(_WIDTH.get(kind, 8 if "struct" not in kind else 64) for _, kind in df.dtypes if kind not in ("string", "binary"))
+    width = sum(texts, F.lit(fixed)).cast("long").alias("w")
+    n, most = df.select(width).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and most <= size else df
 
 
 # --- words -----------------------------------------------------------------------------------------------------------
