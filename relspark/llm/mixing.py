@@ -5,9 +5,11 @@ repeating; together they get ``total`` times all words, none more than ``most``
 by weight until none is above.  Each document of a source then has target / source size copies: a whole part and a
 probability.  Probabilities are rounded in pairs: words move from one document to the other, by a fair draw that keeps
 each one's expected copies, until one of the two is whole.  The words of a source are kept exactly by each transfer.  Blocks of about 128 documents
-are reduced first, then blocks of their leftovers, and so on; the one leftover of a source goes to the nearer whole.
+are reduced first, then blocks of their leftovers, and so on; the one leftover of a source is drawn by its probability.
+So every document's copies are right on average, and a source misses its target by less than one document.
 
-Draws are hashes of the pair, so reruns agree.  Rows with equal doc_id, source and size share one decision.  A null text
+Draws are hashes of the pair, so reruns agree.  Rows with equal doc_id, source and size are one unit: their copies add up
+to a whole part and one probability, and are dealt out evenly, the first ones taking what is over.  A null text
 has size 0; documents of size 0 take nothing.  An empty table gives no rows.  Other columns are not read by ``mix`` and
 are kept by ``mixed_documents``.
 """
@@ -72,19 +74,25 @@ def _reduce(units: DataFrame, seed: int) -> DataFrame:
     return lists.select("src", "block", folded.alias("f")).select("src", "block", "f.cur", "f.out")
 
 
+def _draw(*parts) -> Column:
+    """A number from 0 up to 1."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
 def decide(sizes: DataFrame, seed: int = 7, **kinds) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, source, size, m, copies), sources) from (doc_id, source, size); m is the number of equal rows."""
+    """((doc_id, source, size, m, copies), sources) from (doc_id, source, size); m rows are equal and have all copies together."""
     sources = durable(targets(sizes, **kinds))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = sources.select(F.col("source").alias("src"), blocks.alias("blocks"), rate.alias("rate"))
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
     units = units.join(small(per), F.col("source").eqNullSafe(F.col("src")))
-    units = units.withColumns({"base": F.floor("rate"), "p": F.col("rate") - F.floor("rate")})
+    whole = F.floor(F.col("rate") * F.col("m") + 1e-9)
+    units = units.withColumns({"base": whole, "p": F.greatest(F.lit(0.0), F.col("rate") * F.col("m") - whole)})
     taking = (F.col("size") > 0) & (F.col("p") > 1e-12)
     key = F.struct("doc_id", "source", "size", "m", "base")
     done = [units.filter(~taking).select(key.alias("id"), F.lit(0).cast("long").alias("bit"))]
-    level = units.filter(taking).select("src", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"), F.struct(key.alias("id"), (F.col("size") * F.col("m")).cast("double").alias("s"), "p").alias("unit"))
+    level = units.filter(taking).select("src", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"), F.struct(key.alias("id"), F.col("size").cast("double").alias("s"), "p").alias("unit"))
     most = per.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
     while True:
         level = durable(_reduce(level, seed))
@@ -93,7 +101,7 @@ def decide(sizes: DataFrame, seed: int = 7, **kinds) -> tuple[DataFrame, DataFra
             break
         most = -(-most // BLOCK)
         level = level.select("src", F.floor(F.col("block") / BLOCK).alias("block"), F.col("cur").alias("unit"))
-    done.append(level.select("cur.id", (F.col("cur.p") >= 0.5).cast("long").alias("bit")))
+    done.append(level.select("cur.id", (_draw("cur.id", F.lit(seed)) < F.col("cur.p")).cast("long").alias("bit")))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
@@ -109,17 +117,28 @@ def mix(docs: DataFrame, **kinds) -> DataFrame:
     decided, sources = decide(_sizes(docs), **kinds)
     out = decided.join(small(sources.select(F.col("source").alias("src"), "source_size", "target")), F.col("source").eqNullSafe(F.col("src")))
     out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    own = F.floor(F.col("copies") / F.col("m")) + (F.col("row") <= F.col("copies") % F.col("m")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", (own * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **kinds) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents without words stay once."""
     sizes = _sizes(docs)
-    decided, _ = decide(sizes, **kinds)
-    took = decided.filter("size > 0 and copies <> 1").select(F.col("doc_id").alias("__d"), F.xxhash64("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c"))
+    decided = durable(decide(sizes, **kinds)[0])
+    took = decided.filter("size > 0 and copies <> m").select(F.col("doc_id").alias("__d"), F.xxhash64("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c"), F.col("m").alias("__m"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["source"].cast("string")) == F.col("__s")) & (n_words(docs["text"]) == F.col("__n"))
-    out = docs.join(small(took), same, "left").withColumn("__c", F.coalesce("__c", F.lit(1).cast("long"))).filter("__c > 0")
-    return out.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    times = lambda rows, c: rows.withColumn("__t", c).filter("__t > 0").withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__t")))).select(*names)
+    if decided.filter("m > 1").isEmpty():
+        return times(docs.join(small(took), same, "left"), F.coalesce("__c", F.lit(1).cast("long")))
+    rows = docs.join(small(took), same, "left")
+    # rows that stand for one unit: equal rows count once, and a unit's different rows take their turns by text
+    unit = W.partitionBy("__d", "__s", "__n")
+    kinds_ = rows.filter("__m > 1").groupBy(*docs.columns, "__d", "__s", "__n", "__c", "__m").agg(F.count(F.lit(1)).alias("__k"))
+    before = F.sum("__k").over(unit.orderBy(F.xxhash64(*names)).rowsBetween(W.unboundedPreceding, -1))
+    over = F.greatest(F.lit(0).cast("long"), F.least(F.col("__k"), F.col("__c") % F.col("__m") - F.coalesce(before, F.lit(0))))
+    shared = times(kinds_.withColumn("__o", over), F.col("__k") * F.floor(F.col("__c") / F.col("__m")) + F.col("__o"))
+    return times(rows.filter("coalesce(__m, 1) = 1"), F.coalesce("__c", F.lit(1).cast("long"))).unionAll(shared)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
