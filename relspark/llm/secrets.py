@@ -1,9 +1,14 @@
 """Secret scans: an Aho-Corasick keyword prefilter, anchored expressions near hits only, then checksum validation.
 
 Base kinds are ``assign`` (a keyword, a separator and a value of 12 or more characters), ``access`` (AKIA keys of 18 or
-more characters) and ``hex`` (runs of 16 or more hex digits).  The method adds ``github`` and ``npm`` tokens whose last
-six characters are the base-62 CRC32 of the rest, ``jwt`` (three base64url parts, the header a JSON object with
-``alg``), ``card`` (13 to 19 digits with a card prefix that pass the Luhn checksum) and ``pem`` private-key blocks.
+more characters) and ``hex`` (runs of 16 or more hex digits; they have no keyword, so the whole text is searched).  The
+method adds ``github`` and ``npm`` tokens whose last six characters are the base-62 CRC32 of the rest, and ``card`` (13 to
+19 digits with a card prefix that pass the Luhn checksum).  Two further kinds carry no checksum; what they hold is checked
+instead: ``jwt`` (three base64url parts, header and payload JSON objects, ``alg`` in the header and a signature as long as
+that algorithm makes) and ``pem`` (a private-key block with its end line, whose bytes are one DER sequence of exactly the
+length that it states, or start as an OpenSSH key).
+
+Time is linear in the text: hits of a kind within its last span, or inside a longer run of its letters, are skipped.
 
 Spans are code points, end exclusive.  A null or empty text has no spans.  Repeated rows give repeated results; columns
 other than doc_id and text are not read.
@@ -34,13 +39,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CHECKED = re.compile(r"(gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]*)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END \1PRIVATE KEY-----)?")
-CARD = re.compile(r"[3-6][0-9]{12,18}")
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,32})PRIVATE KEY-----([A-Za-z0-9+/=\s]*+)(?:-----END \1PRIVATE KEY-----)?")
+CARD = re.compile(r"(?<![^\W_])[3-6][0-9]{12,18}(?![^\W_])")
+SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132}  # bytes, by algorithm
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 WORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"),
     "akia": "access", **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "checked"), "eyj": "jwt", "-----begin": "pem",
+    **dict.fromkeys(map(str, range(30, 70)), "card"),
 }
 
 
@@ -60,6 +67,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(text: str) -> bytes:
+    return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+
+
+def is_jwt(head: str, payload: str, signature: str) -> bool:
+    try:
+        h, p, s = json.loads(_part(head)), json.loads(_part(payload)), _part(signature)
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(h, dict) and isinstance(p, dict) and "alg" in h and len(s) == SIGNATURE.get(str(h["alg"]), len(s))
+
+
+def is_private_key(body: str) -> bool:
+    """Whether base64 text is one DER sequence of the length that it states, or an OpenSSH key."""
+    try:
+        data = base64.b64decode("".join(body.split()), validate=True)
+    except binascii.Error:
+        return False
+    if data.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(data) < 2 or data[0] != 0x30:
+        return False
+    more = data[1] & 0x7F if data[1] & 0x80 else 0
+    size = int.from_bytes(data[2 : 2 + more], "big") if more else data[1]
+    return more <= 4 and len(data) == 2 + more + size
+
+
 @lru_cache(1)
 def _automaton():
     a = ahocorasick.Automaton()
@@ -73,9 +107,10 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each span, by start, then by kind as in KINDS."""
     found: list[tuple[int, int, str]] = []
     low = text.replace("İ", "i").lower()  # the one letter whose lower case is longer
-    hits = sorted((end + 1 - n, kind) for end, (n, kind) in _automaton().iter(low))
-    last = dict.fromkeys(("assign", "access", "checked", "jwt", "pem"), 0)
-    for at, kind in hits:
+    last = dict.fromkeys(("assign", "access", "checked", "jwt", "card", "pem"), 0)
+    # no keyword is part of another, so hits come in the order of their starts
+    for end, (n, kind) in _automaton().iter(low):
+        at = end + 1 - n
         if at < last[kind]:
             continue
         if kind == "assign":
@@ -94,22 +129,19 @@ def scan(text: str) -> list[tuple[int, int, str]]:
                 found.append((at, m.end(), "npm" if m[1] == "npm_" else "github"))
         elif kind == "jwt":
             if m := JWT.match(text, at):
-                try:
-                    head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-                except (binascii.Error, ValueError):
-                    head = None
-                if isinstance(head, dict) and "alg" in head:
-                    last[kind] = m.end()
+                last[kind] = m.end()
+                if is_jwt(m[1], m[2], m[3]):
                     found.append((at, m.end(), kind))
+        elif kind == "card":
+            if (m := CARD.match(text, at)) and luhn(m[0]):
+                last[kind] = m.end()
+                found.append((at, m.end(), kind))
         elif m := PEM.match(text, at):
             last[kind] = m.end()
-            found.append((at, m.end(), kind))
+            if m.end() > m.end(2) and is_private_key(m[2]):  # with its end line
+                found.append((at, m.end(), kind))
     for m in HEX.finditer(text):
         found.append((*m.span(), "hex"))
-    for m in CARD.finditer(text):
-        a, b = m.span()
-        if (not a or not text[a - 1].isalnum()) and not text[b : b + 1].isalnum() and luhn(m[0]):
-            found.append((a, b, "card"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
