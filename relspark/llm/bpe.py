@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LEAF = 4096  # code points
+LEAF, IDS = 512, 1024  # code points and tokens below which a text is not halved
 _BORDER = regex.compile(r"(?<=\S)\s")
 
 
@@ -38,6 +38,7 @@ class Codec:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
+        self.joins = 0  # so far
         self.decimal = [str(i) for i in range(len(self.bytes))]
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
@@ -52,6 +53,7 @@ class Codec:
     def join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
         """The tokens of text[lo:hi] from those of text[lo:mid] and text[mid:hi]; ``left`` may be changed."""
         a, b = self._before(text, lo, mid), self._after(text, mid, hi)
+        self.joins += 1
         drop = len(text[a:mid].encode())
         keep = len(left)
         while drop > 0:
@@ -94,7 +96,7 @@ class Codec:
                 return hi
             size *= 2
 
-    def decode(self, ids: list[int], leaf: int = 1 << 16) -> bytes:
+    def decode(self, ids: list[int], leaf: int = IDS) -> bytes:
         if len(ids) <= leaf:
             table_ = self.bytes
             return b"".join([table_[i] for i in ids])
@@ -132,7 +134,7 @@ def decode_column(encoded: DataFrame, path: str = VOCAB) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str = VOCAB, leaf: int = LEAF) -> DataFrame:
-    """Digests of the ids of each whole text and of the bytes they decode to."""
+    """Digests of the ids of each whole text and of the bytes they decode to; n_joins counts the tree's joins."""
 
     def run(batches):
         c = codec(path)
@@ -140,15 +142,17 @@ def round_trip(docs: DataFrame, path: str = VOCAB, leaf: int = LEAF) -> DataFram
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.slice(i, 256)
-                n, ids_sha, text_sha = [], [], []
+                n, ids_sha, text_sha, joins = [], [], [], []
                 for t in part.column(1).to_pylist():
+                    before = c.joins
                     ids = c.encode(t or "", leaf)
+                    joins.append(c.joins - before)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join([decimal[x] for x in ids]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(joins, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
