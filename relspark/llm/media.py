@@ -1,10 +1,11 @@
 """Media columns: Netpbm and BMP images to numpy arrays, area-resized NPY tiles and difference hashes.
 
-``decode`` reads P1-P6 Netpbm and uncompressed 8-, 24- and 32-bit BMP; ``resize_area`` averages exact (fractional)
+``decode`` reads P1-P6 Netpbm and uncompressed 8-, 16-, 24- and 32-bit BMP, colour masks included; ``resize_area`` averages exact (fractional)
 areas from an integral image; ``tile`` writes an ``.npy`` file; ``dhash`` compares neighbours of a 9 x 8 tile.
 ``media_features`` applies all of it to a column of binary media.
 
-Null media give null features; media that cannot be decoded give null features and an ``error`` text.  Repeated rows
+Null media give null features.  Media that cannot be decoded (other formats, broken off, empty of pixels, samples or
+palette numbers above what the header allows) give null features and an ``error`` text.  Repeated rows
 give repeated results; other columns of the input are not read.
 """
 
@@ -43,23 +44,36 @@ def _netpbm_header(data: bytes, fields: int) -> tuple[list[int], int]:
     return out, at + 1
 
 
+def _size(w: int, h: int) -> None:
+    if w <= 0 or h == 0:
+        raise ValueError("image without pixels")
+
+
 def _decode_netpbm(data: bytes) -> np.ndarray:
     kind = data[1:2]
     if kind in b"14":
         (w, h), at = _netpbm_header(data, 2)
+        _size(w, h)
         if kind == b"4":
             rows = np.frombuffer(data, np.uint8, (w + 7) // 8 * h, at).reshape(h, -1)
             return (1 - np.unpackbits(rows, axis=1)[:, :w]) * np.uint8(255)
-        bits = np.array([c - 48 for c in data[at - 1 :] if c in b"01"][: w * h], np.uint8)
+        bits = np.frombuffer(data, np.uint8, -1, at - 1) if at <= len(data) else np.zeros(0, np.uint8)
+        bits = bits[(bits == 48) | (bits == 49)][: w * h] - np.uint8(48)
         return (1 - bits.reshape(h, w)) * np.uint8(255)
     (w, h, top), at = _netpbm_header(data, 3)
+    _size(w, h)
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maximum")
     deep = 3 if kind in b"36" else 1
     if kind in b"56":
         kept = np.frombuffer(data, np.uint8 if top < 256 else ">u2", w * h * deep, at)
     else:
-        kept = np.array(data[at:].split()[: w * h * deep], np.int64)
+        values = data[at:].split(None, w * h * deep)[: w * h * deep]
+        if not all(v.isdigit() and len(v) < 6 for v in values):
+            raise ValueError("bad Netpbm sample")
+        kept = np.array(list(map(int, values)), np.int64)
+    if len(kept) and kept.max() > top:
+        raise ValueError("Netpbm sample above the maximum")
     kept = kept.reshape((h, w, 3) if deep == 3 else (h, w))
     return kept.astype(np.uint8) if top == 255 else (kept.astype(np.int64) * 255 // top).astype(np.uint8)
 
@@ -67,23 +81,38 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
 def _decode_bmp(data: bytes) -> np.ndarray:
     (start,) = struct.unpack_from("<I", data, 10)
     head, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if (packed, bits) not in ((0, 8), (0, 16), (0, 24), (0, 32), (3, 16), (3, 32)):
         raise ValueError("BMP kind not supported")
+    _size(w, h)
     stride = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
-        palette = np.frombuffer(data, np.uint8, start - 14 - head, 14 + head).reshape(-1, 4)
+        palette = np.frombuffer(data, np.uint8, (start - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)
+        if int(rows.max()) >= len(palette):
+            raise ValueError("BMP palette number out of range")
         return palette[rows][:, :, 2::-1].copy()
+    if packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        return np.stack([_channel(pixels, m) for m in masks], axis=2)
     return rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1].copy()
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    shift = (mask & -mask).bit_length() - 1 if mask else 0
+    return ((pixels & mask) >> shift) * 255 // max(1, mask >> shift)
+
+
 def decode(data: bytes) -> np.ndarray:
-    """An (h, w) or (h, w, 3) uint8 array; ValueError for anything else than Netpbm and BMP."""
-    if data[:2] == b"BM":
-        return _decode_bmp(data)
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
-        return _decode_netpbm(data)
+    """An (h, w) or (h, w, 3) uint8 array; ValueError, and nothing else, for what is not a whole Netpbm or BMP image."""
+    try:
+        if data[:2] == b"BM":
+            return _decode_bmp(data).astype(np.uint8, copy=False)
+        if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+            return _decode_netpbm(data)
+    except (struct.error, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"broken image: {e}") from None
     raise ValueError("neither Netpbm nor BMP")
 
 
@@ -132,7 +161,7 @@ def dhash(gray: np.ndarray) -> str:
 def tile(gray: np.ndarray, h: int = 16, w: int = 16) -> bytes:
     """A resized tile as the bytes of an .npy file."""
     out = io.BytesIO()
-    np.save(out, np.rint(resize_area(gray, h, w)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(np.rint(resize_area(gray, h, w)).astype(np.uint8)), allow_pickle=False)  # rows first
     return out.getvalue()
 
 
@@ -147,7 +176,7 @@ def media_features(df: DataFrame, key: str = "page_id", media: str = "media") ->
                     im = None if data is None else decode(data)
                     g = None if im is None else luma(im)
                     rows.append((None,) * 5 if g is None else (g.shape[0], g.shape[1], dhash(g), tile(g), None))
-                except (ValueError, struct.error) as e:
+                except ValueError as e:
                     rows.append((None, None, None, None, str(e)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())], names=[key, "height", "width", "dhash", "tile", "error"])
