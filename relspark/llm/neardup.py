@@ -109,8 +109,13 @@ def _digest() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
+def _mark() -> Column:
+    """With doc_id it finds a class's text again: so that many texts of one doc_id, or of none, do not meet each other."""
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def sketch(docs: DataFrame, n: int, digests: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, node, check, sig): two 64-bit fingerprints of the set, and the signature; with the text's digest if asked."""
+    """(doc_id, n_shingles, node, check, sig, mark): two 64-bit fingerprints of the set, its signature, and a hash of the text; with the text's digest if asked."""
 
     def run(batches):
         for b in batches:
@@ -121,9 +126,9 @@ def sketch(docs: DataFrame, n: int, digests: bool = False) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[2:]], names=names)
 
-    names = ["doc_id", "n_shingles", "node", "check", "sig"] + ["digest"] * digests
-    texts = _texts(docs, _digest().alias("digest")) if digests else _texts(docs)
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary" + ", digest binary" * digests)
+    names = ["doc_id", "n_shingles", "node", "check", "sig", "mark"] + ["digest"] * digests
+    texts = _texts(docs, _mark(), *[_digest().alias("digest")] * digests)
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sig binary, mark long" + ", digest binary" * digests)
 
 
 def probe_keys(classes: DataFrame, distance: int, errors: int = 1) -> DataFrame:
@@ -239,10 +244,10 @@ def link_block(node: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side:
 
 def family_sets(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int) -> DataFrame:
     """(root, blocks, node, data, sig) of each member of a family: into how many blocks that is cut, set and signature."""
-    members = families.join(reps.select("node", "doc_id", "n_shingles"), "node")
+    members = families.join(reps.select("node", "at", "n_shingles"), "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     count = members.groupBy("root").agg(blocks.alias("blocks"))
-    members = _to_hub(members, count, "root").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "root", "blocks")
+    members = _to_hub(members, count, "root").select(F.col("at.doc_id").alias("__id"), F.col("at.mark").alias("__mark"), F.col("node").alias("__node"), "root", "blocks")
 
     def run(batches):
         names = ["root", "blocks", "node", "data", "sig"]
@@ -254,7 +259,8 @@ def family_sets(docs: DataFrame, reps: DataFrame, families: DataFrame, n: int) -
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
-    texts = _texts(docs).join(small(members), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "__node", "root", "blocks")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    texts = _texts(docs, _mark()).join(small(members), same).select("text", "__node", "root", "blocks")
     return texts.mapInArrow(run, "root long, blocks int, node long, data binary, sig binary").dropDuplicates(["node"])
 
 
@@ -315,7 +321,7 @@ def _groups(docs: DataFrame, n: int, percent: int, digests: bool = False) -> tup
     distance = max_distance(percent)
     sketches = durable(sketch(docs, n, digests))
     firsts = [F.min(_document()).alias("document")] if digests else []
-    reps = sketches.filter("node is not null").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), *firsts)
+    reps = sketches.filter("node is not null").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first(F.struct("doc_id", "mark")).alias("at"), *firsts)
     reps = durable(reps)
     keys = probe_keys(reps, distance)
     # one member of each bucket, drawn by a hash of member and bucket
