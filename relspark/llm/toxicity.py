@@ -109,8 +109,8 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     right = np.zeros((len(every), len(b)))
     right[at, who] = how
     out = np.zeros((len(a), len(b)))
-    for k in range(0, len(a), 4096):
-        who, what, how = triples(a[k : k + 4096])
+    for k in range(0, len(a), 256):  # a row for each triple that is shared: so few words at a time
+        who, what, how = triples(a[k : k + 256])
         at = np.minimum(np.searchsorted(every, what), max(0, len(every) - 1))
         same = every[at] == what if len(every) else np.zeros(len(what), bool)
         who, at, how = who[same], at[same], how[same]
