@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import _INV, _MULT, U, durable, mix, table, word_batches
+from ._common import _INV, _MULT, U, durable, give_back, mix, table, word_batches
 
 VOCAB = public_tokenizers.path("piece_bpe_32k.model")
-CHUNK = 12 << 20  # bytes of text: the larger, the fewer chunks a word is in
-LONG_WORD, WORDS = 64, 16_384  # code points of words that go one by one; words that go at once
+CHUNK = 8 << 20  # bytes of text: the larger, the fewer chunks a word is in
+LONG_WORD, WORDS = 64, 8_192  # code points of words that go one by one; words that go at once
 MARK = 0x2581
 _SLOTS = 1 << 20
 
@@ -196,7 +196,7 @@ def chunks(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
             del names
             h, lens = np.concatenate(hashes), np.concatenate(lens)
             local = np.searchsorted(u_all, h).astype(np.uint32)
-            del h, hashes
+            del h, hashes, at
             c = np.bincount(local[np.repeat(~flags, lens)], minlength=len(u_all))
             chunk = (part << 20) + seq
             seq += 1
@@ -204,20 +204,24 @@ def chunks(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
             doc = np.array([x or 0 for x in ids], np.int64)
             raw = np.int64(len(ids)).tobytes() + doc.tobytes() + nulls.tobytes() + flags.astype(np.uint8).tobytes() + lens.astype(np.int64).tobytes() + np.int64(len(local)).tobytes() + local.tobytes() + marginal.tobytes()
             blob = zstandard.ZstdCompressor(level=1).compress(raw)
+            del raw, local, marginal, doc
             step = 100_000
             for k in range(0, len(u_all), step):
                 m = len(u_all[k : k + step])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(u_all[k : k + step].view(np.int64)), pa.array(c[k : k + step].astype(np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names_)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary()), pa.array([int((~flags).sum())], pa.int64())], names=names_)
             ids, texts, held, size = [], [], [], 0
+            del u_all, c, blob
+            give_back()
 
         names_ = ["chunk", "local", "word", "c", "blob", "n_train"]
         for b in batches:
-            for d, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ids.append(d), texts.append(t or b""), held.append(x)
-                size += len(texts[-1])
-                if size >= CHUNK:
-                    yield from flush()
+            for i in range(0, len(b), 256):
+                for d, t, x in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True):
+                    ids.append(d), texts.append(t or b""), held.append(x)
+                    size += len(texts[-1])
+                    if size >= CHUNK:
+                        yield from flush()
         yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
