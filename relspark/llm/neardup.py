@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U, durable, mix, small, table, word_batches
+from ._common import U, durable, give_back, mix, small, table, word_batches
 
 HASHES = 64
 FAMILY_BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
@@ -125,6 +125,7 @@ def sketch(docs: DataFrame, n: int, digests: bool = False) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[2:]], names=names)
+            give_back()
 
     names = ["doc_id", "n_shingles", "node", "check", "sig", "mark"] + ["digest"] * digests
     texts = _texts(docs, _mark(), *[_digest().alias("digest")] * digests)
@@ -278,6 +279,7 @@ def class_links(sets: DataFrame, percent: int, distance: int) -> DataFrame:
             was = node if label is None else label
             now = pd.Series(was).groupby(group).transform("min").to_numpy()
             out = pd.concat([out, pd.DataFrame({"a": was, "b": now, "link": False}).drop_duplicates()])
+        give_back()
         return out
 
     def linked(rows: DataFrame, *by: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, mix, table, word_batches
+from ._common import durable, give_back, mix, table, word_batches
 
 PER_CLASS = 4000
 CANDIDATES, ODDS, TEXTS = 600, 1.5, 3  # marking words to choose from; their log odds and texts at least
@@ -488,6 +488,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+            give_back()
 
     return _column(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -500,7 +501,9 @@ def clean_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFr
     def score_of(s):
         import pandas as pd
 
-        return pd.Series(shared.value.score([None if t is None else bytes(t) for t in s]))
+        out = pd.Series(shared.value.score([None if t is None else bytes(t) for t in s]))
+        give_back()
+        return out
 
     return docs.filter(score_of(F.col("text").cast("string").cast("binary")) < limit)
 
