@@ -275,10 +275,11 @@ def join_nested_structs(db, n, r):
     return df.select(*(F.to_json(c).alias(c) for c in df.columns))  # one struct for each table, as text
 
 
-@query(f"SELECT o_orderkey, c_custkey FROM {N_ORDERS} JOIN {N_CUSTOMER} ON o_custkey = c_custkey AND o_orderpriority = c_mktsegment", "orders", "customer", nulls=True)
-def join_residual_nulls(db, o, c):
+@query(f"WITH o AS (SELECT * FROM {N_ORDERS}) SELECT a.o_orderkey AS one, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey", "orders", nulls=True)
+def join_residual_nulls(db, o):
     """A second predicate between joined tables: null matches nothing."""
-    return db.select(o.o_orderkey, c.c_custkey).from_(o, c).where(op.and_(o.o_custkey.eq(c.c_custkey), o.o_orderpriority.eq(c.c_mktsegment)))
+    a, b = o.as_("a"), o.as_("b")
+    return db.select(a.o_orderkey.as_("one"), b.o_orderkey.as_("other")).from_(a, b).where(op.and_(a.o_custkey.eq(b.o_custkey), a.o_orderpriority.eq(b.o_orderpriority), a.o_orderkey.lt(b.o_orderkey)))
 
 
 # --- aggregates
