@@ -40,6 +40,8 @@ from ._common import _INV, _MULT, U, durable, give_back, mix, table, word_batche
 
 VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK = 8 << 20  # bytes of text: the larger, the fewer chunks a word is in
+#: What a task of the two shuffles gets on average: entries of words, and chunks; so tasks grow in number, not in size.
+TASK_ENTRIES, TASK_CHUNKS = 2_000_000, 2
 LONG_WORD, WORDS = 64, 8_192  # code points of words that go one by one; words that go at once
 MARK = 0x2581
 _SLOTS = 1 << 20
@@ -247,11 +249,13 @@ def score(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
     packed = durable(chunks(docs, held_out, path))
     entries = packed.filter("blob is null").select("chunk", "local", "word", "c")
     blobs = packed.filter("blob is not null").select("chunk", "blob", "n_train")
+    n_entries, n_chunks, n_end = packed.agg(F.count("c"), F.count("n_train"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle by word: each entry gets its word's count, and one of them stands for the word
+    entries = entries.repartition(max(least, -(-n_entries // TASK_ENTRIES)), "word")
     by, place = Window.partitionBy("word"), F.struct("chunk", "local")
     entries = durable(entries.select("chunk", "local", F.sum("c").over(by).alias("c"), (F.min(place).over(by) == place).alias("first")))
     n, v = entries.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    n_end = blobs.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     n, v, known_end = n + n_end, v + (n_end > 0), int(n_end > 0)
     types, last = max(v, 1), pieces(path)[2]
     base_end = math.log10((n_end + 1) / (n + v + 1))
@@ -277,8 +281,9 @@ def score(docs: DataFrame, held_out, path: str = VOCAB) -> DataFrame:
         return pd.concat(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    known = entries.select(F.col("chunk").alias("part"), "local", "c")
-    return blobs.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(finish, schema)
+    tasks = max(least, -(-n_chunks // TASK_CHUNKS))
+    known = entries.select(F.col("chunk").alias("part"), "local", "c").repartition(tasks, "part")
+    return blobs.repartition(tasks, "chunk").groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(finish, schema)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
