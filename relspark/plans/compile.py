@@ -1,7 +1,7 @@
 """SelectContext -> DataFrame.
 
-Joins keep their call order and conditions; filters, pruning, join strategy and skew are Catalyst's.  Nothing here
-collects.  A table's hidden row id, where it has one, decides "first" and "last" of columns that are not grouped, and the
+Joins keep their call order and conditions; filters, pruning, join strategy and skew are Catalyst's, but for equi-joins by
+keys that may repeat on both sides (``spread``).  Nothing here collects.  A table's hidden row id, where it has one, decides "first" and "last" of columns that are not grouped, and the
 order of rows (or groups: by their first row) that sort keys leave open, so that pages over ties are the same in each run.
 """
 
@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import Aggregate
-from ..predicates import bound
+from ..predicates import CombinedPredicate, JoinPredicate, bound
 from ..schema import ROW_ID
 from ..types import Order
 from .aggregates import aggregate_sql
+from .spread import spread_join
 
 
 def text(c) -> str:
@@ -32,17 +33,59 @@ def output_name(c) -> str:
     return c.alias or c.name
 
 
+def _conjuncts(p) -> list:
+    if p is None:
+        return []
+    return [x for c in p.children for x in _conjuncts(c)] if isinstance(p, CombinedPredicate) and p.op == "and" else [p]
+
+
+def _equal(predicates, before: set[str], table) -> list[tuple]:
+    """(column of the tables before, column of ``table``, predicate) of what makes the two equal."""
+    out, name = [], table.effective_name
+    for p in predicates:
+        if isinstance(p, JoinPredicate) and p.op == "eq":
+            a, b = (p.right, p.left) if p.left.table.effective_name == name else (p.left, p.right)
+            if a.table.effective_name in before and b.table.effective_name == name:
+                out.append((a, b, p))
+    return out
+
+
+def _keys(table) -> list[frozenset]:
+    return [frozenset((table.effective_name, c.name) for c in i.columns) for i in table.indices if i.unique]
+
+
+def _telling(table, df) -> list[Col]:
+    """What tells a table's rows apart: the row id, or else its columns that can be hashed."""
+    return [F.col(f"`{table.effective_name}`.`{ROW_ID}`")] if ROW_ID in df.columns else [resolve(c) for c in table.columns if c.type.keyable] or [F.lit(0)]
+
+
 def _joined(ctx, tables) -> DataFrame:
-    df = None
+    """A join by keys that may repeat on both sides is spread; the others are left to Catalyst."""
+    df, before, unique, rows = None, set(), [], []
+    rest = _conjuncts(ctx.where)
     for table, kind, predicate in ctx.items:
-        t = tables[table.name].alias(table.effective_name)
+        t, keys, row = tables[table.name].alias(table.effective_name), _keys(table), _telling(table, tables[table.name])
+        how = "left" if kind == "left" else "inner"
+        equal = _equal(rest if kind == "from" else _conjuncts(predicate), before, table)
+        ours, theirs = {(a.table.effective_name, a.name) for a, _, _ in equal}, {(table.effective_name, b.name) for _, b, _ in equal}
+        once, alone = any(k <= theirs for k in keys), any(k <= ours for k in unique)
         if df is None:
-            df = t
-        elif kind == "from":
-            df = df.crossJoin(t)
+            df, unique = t, keys
         else:
-            df = df.join(t, predicate.to_column(resolve, ctx.binds), "left" if kind == "left" else "inner")
-    return df if ctx.where is None else df.filter(ctx.where.to_column(resolve, ctx.binds))
+            if equal and not once and not alone:
+                on = reduce(lambda a, b: a & b, (p.to_column(resolve) for _, _, p in equal)) if kind == "from" else predicate.to_column(resolve, ctx.binds)
+                df = spread_join(df, t, [(resolve(a), resolve(b)) for a, b, _ in equal], on, how, (rows, row))
+                rest = [p for p in rest if kind != "from" or all(p is not q for _, _, q in equal)]
+            elif kind == "from":
+                df = df.crossJoin(t)
+            else:
+                df = df.join(t, predicate.to_column(resolve, ctx.binds), how)
+            unique = (unique if once else []) + (keys if alone else []) or [a | b for a in unique for b in keys]
+        before.add(table.effective_name)
+        rows = rows + row
+    for p in rest:
+        df = df.filter(p.to_column(resolve, ctx.binds))
+    return df
 
 
 def _row_ids(ctx, tables) -> list[Col]:
