@@ -47,6 +47,22 @@ def test_joins_by_where_are_dealt_out(spark, cells, name):
         assert largest_share(QUERIES[name](spark, SF)) < 0.25
 
 
+def test_cells_of_full_size(spark):
+    """18 million of the 36 million pairs of one key, cut as in use: each once, and no task has most of them."""
+    b, n = create("full"), 6000
+    for t in ("one", "two"):
+        b.create_table(t).add_column("id", Type.INTEGER).add_column("k", Type.INTEGER).add_column("v", Type.INTEGER).add_primary_key(["id"])
+    db = b.connect(spark)
+    for t, shift in (("one", 0), ("two", 1)):
+        db.attach(t, spark.range(0, n, 1, 1).select("id", (F.col("id") % 1).alias("k"), (F.col("id") + shift).alias("v")), F.col("id"))
+    one, two = db.table("one"), db.table("two")
+    df = db.select(one.id.as_("a"), two.id.as_("b")).from_(one, two).where(op.and_(one.k.eq(two.k), one.v.lt(two.v))).exec_df()
+    got = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    # pairs with a <= b: a meets n - a, b meets b + 1
+    assert [sum(r[c] for r in got) for c in "nab"] == [n * (n + 1) // 2, sum(a * (n - a) for a in range(n)), sum(b * (b + 1) for b in range(n))]
+    assert max(r["n"] for r in got) < 0.6 * n * (n + 1) / 2
+
+
 def pairs(spark, left, right, kinds=("long", "long"), how="left", keyed=False):
     """(left id, right id) of rows with equal ``k``, as the engine and as plain Python give them."""
     b = create("pairs")
